@@ -187,7 +187,7 @@ def estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
     return stage(moments(near, F.lit(True), CONSISTENCY_975), "estimate")
 
 
-def judge(docs: DataFrame, *, least: int = 200, core: float = 0.75, steps: int = 3, cutoff: float = 60.0) -> DataFrame:
+def judge(docs: DataFrame, *, least: int = 200, core: float = 0.75, steps: int = 3, cutoff: float = 30.0) -> DataFrame:
     """Base counts of every row with base_failed, d2 (null where base_failed) and kept."""
     rows = stage(base_counts(docs).withColumn("base_failed", base_failed()), "counts")
     vectors = rows.select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector())))
