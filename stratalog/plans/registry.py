@@ -1,8 +1,739 @@
-"""Registered queries."""
+"""Queries of the catalog operators over the driver's tables, each with its SQL oracle.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+A gallery is an order, a file a line's part, an artist a line's supplier, a gid a customer; documents, turns and
+events stand in where texts or ordered children are needed.  Base and target are two arithmetic snapshots."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec
+from ..operators import changes, decisions, effects, publication, retention, serving
+from ..sources import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def files_of(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias("gallery"), F.col("l_partkey").alias("file"))
+
+
+def occ(lines: DataFrame) -> DataFrame:
+    return decisions.occurrence_counts(files_of(lines))
+
+
+def artists(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias("gallery"), F.col("l_suppkey").alias("artist")).distinct()
+
+
+def decided(lines: DataFrame) -> DataFrame:
+    return decisions.file_decisions(occ(lines), artists(lines))
+
+
+def base_lines(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").where("l_orderkey % 10 <> 0")
+
+
+def target_lines(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").where("l_orderkey % 10 <> 1 and not (l_orderkey % 7 = 0 and l_linenumber = 1)")
+
+
+def observed(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(F.col("l_orderkey").alias("gallery")).agg(F.sum(F.col("l_partkey") * F.col("l_linenumber")).alias("observation"))
+
+
+#: A part is on about 30 lines at every scale: this threshold excludes about half of them.
+POLICY = decisions.Policy(occurrence_threshold=30)
+
+
+def part_digest() -> Column:
+    return F.sha2(F.col("file").cast("string"), 256)
+
+
+def content_of(lines: DataFrame) -> DataFrame:
+    o = occ(lines)
+    return decisions.effective_content(decisions.effective_files(o, decided(lines), POLICY), part_digest())
+
+
+def candidates_of(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    orders = t(spark, d, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("gallery"),
+        F.when(F.col("o_orderstatus") != "F", 1).otherwise(0).alias("prefer"),
+        codec.scalar_count(F.col("o_orderpriority")).alias("title_scalars"),
+        codec.micros(F.col("o_orderdate")).alias("download_time"),
+        F.col("o_custkey").alias("gid"),
+        F.lit("main").alias("scope"),
+        F.col("o_orderkey").alias("locator"),
+    )
+    return content_of(lines).join(rows, "gallery")
+
+
+# SQL fragments of the oracles
+BASE = "SELECT * FROM lineitem WHERE l_orderkey % 10 <> 0"
+TARGET = "SELECT * FROM lineitem WHERE l_orderkey % 10 <> 1 AND NOT (l_orderkey % 7 = 0 AND l_linenumber = 1)"
+
+
+def decide_sql(name: str, source: str) -> str:
+    """CTEs {name}l, {name}o (occurrences), {name}d (decisions with excluded)."""
+    return f"""{name}l AS ({source}),
+{name}o AS (SELECT l_orderkey AS gallery, l_partkey AS file, count(*) AS occurrence_count FROM {name}l GROUP BY 1, 2),
+{name}g AS (SELECT l_orderkey AS gallery, count(DISTINCT l_suppkey) AS k FROM {name}l GROUP BY 1),
+{name}s AS (SELECT file, CAST(sum(occurrence_count) AS BIGINT) AS occurrence_count FROM {name}o GROUP BY 1),
+{name}a AS (SELECT o.file, count(DISTINCT l.l_suppkey) AS artist_count FROM {name}o o LEFT JOIN {name}l l ON l.l_orderkey = o.gallery GROUP BY 1),
+{name}m AS (SELECT o.file, max(g.k) AS maximum_gallery_artist_count FROM {name}o o JOIN {name}g g USING (gallery) GROUP BY 1),
+{name}d AS (SELECT file, occurrence_count, artist_count, maximum_gallery_artist_count, occurrence_count >= 30 AND maximum_gallery_artist_count > 0 AND artist_count > maximum_gallery_artist_count AS excluded FROM {name}s JOIN {name}a USING (file) JOIN {name}m USING (file))"""
+
+
+def content_sql(name: str) -> str:
+    """CTE {name}c (gallery, content_sha256) after decide_sql(name)."""
+    return f"""{name}c AS (SELECT gallery, sha256(string_agg(repeat(sha256(CAST(file AS VARCHAR)), CAST(occurrence_count AS INT)), '' ORDER BY sha256(CAST(file AS VARCHAR)))) AS content_sha256
+FROM {name}o WHERE file NOT IN (SELECT file FROM {name}d WHERE excluded) GROUP BY gallery)"""
+
+
+def owner_sql(name: str) -> str:
+    """CTEs {name}k (candidates), {name}w (owners), {name}e (gid candidates), {name}x (winners)."""
+    return f"""{name}k AS (SELECT c.gallery, content_sha256, CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS prefer, length(o_orderpriority) AS title_scalars, epoch_us(o_orderdate) AS download_time, o_custkey AS gid, o_orderkey AS locator FROM {name}c c JOIN orders ON o_orderkey = c.gallery),
+{name}w AS (SELECT content_sha256, gallery AS owner FROM (SELECT *, row_number() OVER (PARTITION BY content_sha256 ORDER BY prefer DESC, title_scalars DESC, download_time DESC, gid DESC, locator DESC) AS rn FROM {name}k) WHERE rn = 1),
+{name}e AS (SELECT * FROM {name}k k WHERE EXISTS (SELECT 1 FROM {name}w w WHERE w.owner = k.gallery)),
+{name}x AS (SELECT gid, gallery AS winner FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY prefer DESC, title_scalars DESC, download_time DESC, locator DESC) AS rn FROM {name}e) WHERE rn = 1)"""
+
+
+ALL = decide_sql("q", "SELECT * FROM lineitem")
+ALL_C = f"{ALL},\n{content_sql('q')}"
+ALL_W = f"{ALL_C},\n{owner_sql('q')}"
+BOTH = f"{decide_sql('b', BASE)},\n{decide_sql('n', TARGET)}"
+OBSERVED = f"""obs_b AS (SELECT l_orderkey AS gallery, CAST(sum(l_partkey * l_linenumber) AS BIGINT) AS observation FROM ({BASE}) GROUP BY 1),
+obs_n AS (SELECT l_orderkey AS gallery, CAST(sum(l_partkey * l_linenumber) AS BIGINT) AS observation FROM ({TARGET}) GROUP BY 1),
+chg AS (SELECT n.gallery, CASE WHEN b.gallery IS NULL THEN 'ADDED' ELSE 'REPLACED' END AS change_kind FROM obs_n n LEFT JOIN obs_b b USING (gallery) WHERE b.gallery IS NULL OR b.observation <> n.observation
+UNION ALL SELECT b.gallery, 'REMOVED' FROM obs_b b LEFT JOIN obs_n n USING (gallery) WHERE n.gallery IS NULL)"""
+FILES2 = f"SELECT l_orderkey AS gallery, l_partkey AS file FROM ({BASE}) UNION SELECT l_orderkey, l_partkey FROM ({TARGET})"
+
+
+# --- decisions -------------------------------------------------------------------------------------------
+@query("op16_occurrence_count", "SELECT l_orderkey AS gallery, l_partkey AS file, count(*) AS occurrence_count FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    return occ(t(spark, d, "lineitem"))
+
+
+@query("op18_artists", "SELECT DISTINCT conv_id AS gallery, substr(text, 1, 12) AS artist FROM conversations WHERE role = 'user'")
+def _(spark, d):
+    tags = t(spark, d, "conversations").select(F.col("conv_id").alias("gallery"), F.when(F.col("role") == "user", "artist").otherwise("other").alias("namespace"), F.substring("text", 1, 12).alias("artist"))
+    return decisions.artists_of(tags)
+
+
+@query("op60_file_hash_decision", f"WITH {ALL} SELECT file, occurrence_count, artist_count, maximum_gallery_artist_count FROM qd")
+def _(spark, d):
+    return decided(t(spark, d, "lineitem"))
+
+
+@query("op61_exclusion", f"WITH {ALL} SELECT file, excluded FROM qd")
+def _(spark, d):
+    return decisions.exclusions(decided(t(spark, d, "lineitem")), POLICY).select("file", "excluded")
+
+
+LINES = "SELECT doc_id AS gallery, source, sha256(line) AS file, count(*) AS n FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 1, 2, 3"
+
+
+def lines_of(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("gallery"), "source", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return rows.select("gallery", "source", F.sha2("line", 256).alias("file"))
+
+
+@query("op60_line_boilerplate", f"WITH l AS ({LINES}) SELECT file, CAST(sum(n) AS BIGINT) AS occurrence_count, count(DISTINCT source) AS artist_count, 1::BIGINT AS maximum_gallery_artist_count, sum(n) >= 3 AND count(DISTINCT source) > 1 AS excluded FROM l GROUP BY file")
+def _(spark, d):
+    rows = lines_of(spark, d)
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("gallery"), F.col("source").alias("artist")).distinct()
+    return decisions.exclusions(decisions.file_decisions(decisions.occurrence_counts(rows), docs))
+
+
+@query("op62_exclusion_delta", f"WITH {BOTH} SELECT file, coalesce(b.excluded, false) AS old_excluded, coalesce(n.excluded, false) AS new_excluded FROM bd b FULL JOIN nd n USING (file) WHERE coalesce(b.excluded, false) <> coalesce(n.excluded, false)")
+def _(spark, d):
+    return decisions.exclusion_delta(decided(base_lines(spark, d)), decided(target_lines(spark, d)), POLICY, POLICY)
+
+
+@query("op65_effective_content", f"WITH {ALL_C} SELECT gallery, content_sha256 FROM qc")
+def _(spark, d):
+    return content_of(t(spark, d, "lineitem"))
+
+
+@query("op65_effective_lines", f"WITH l AS ({LINES}), x AS (SELECT file FROM l GROUP BY file HAVING sum(n) >= 3 AND count(DISTINCT source) > 1) SELECT gallery, sha256(string_agg(repeat(file, CAST(n AS INT)), '' ORDER BY file)) AS content_sha256 FROM l WHERE file NOT IN (SELECT file FROM x) GROUP BY gallery")
+def _(spark, d):
+    o = decisions.occurrence_counts(lines_of(spark, d))
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("gallery"), F.col("source").alias("artist")).distinct()
+    return decisions.effective_content(decisions.effective_files(o, decisions.file_decisions(o, docs)), F.col("file"))
+
+
+@query("op63_content_owner", f"WITH {ALL_W} SELECT content_sha256, owner FROM qw")
+def _(spark, d):
+    return decisions.content_owners(candidates_of(spark, d, t(spark, d, "lineitem")))
+
+
+@query("op64_gid_winner", f"WITH {ALL_W} SELECT gid, winner FROM qx")
+def _(spark, d):
+    c = candidates_of(spark, d, t(spark, d, "lineitem"))
+    return decisions.gid_winners(c, decisions.content_owners(c))
+
+
+@query("op90_gid_candidates", f"WITH {ALL_W} SELECT gallery, gid FROM qe")
+def _(spark, d):
+    c = candidates_of(spark, d, t(spark, d, "lineitem"))
+    return decisions.gid_candidates(c, decisions.content_owners(c)).select("gallery", "gid")
+
+
+def sized_files(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("gallery"), (F.col("l_linenumber") - 1).alias("position"), F.col("l_quantity").cast("long").alias("size"))
+
+
+COUNTS = "SELECT l_orderkey AS gallery, count(*) AS file_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS byte_count, max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1"
+
+
+@query("op66_file_counts", COUNTS)
+def _(spark, d):
+    return decisions.file_counts(sized_files(spark, d))
+
+
+@query("op67_snapshot_totals", f"WITH {ALL_C}, f AS ({COUNTS}) SELECT count(*) AS gallery_count, CAST(sum(file_count) AS BIGINT) AS file_count, CAST(sum(byte_count) AS BIGINT) AS byte_count, count(content_sha256) AS content_present FROM f LEFT JOIN qc USING (gallery)")
+def _(spark, d):
+    return decisions.snapshot_totals(decisions.file_counts(sized_files(spark, d)), content_of(t(spark, d, "lineitem")))
+
+
+@query("op69_duplicate_keys", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <> 1")
+def _(spark, d):
+    return decisions.duplicate_keys(t(spark, d, "orders"), "o_custkey")
+
+
+@query("op72_minimum_witness", "SELECT l_suppkey, min(l_orderkey) AS witness FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return decisions.minimum_witness(t(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
+
+
+# --- changes and overlays --------------------------------------------------------------------------------
+def changed(spark, d):
+    return changes.changed_galleries(observed(base_lines(spark, d)), observed(target_lines(spark, d)))
+
+
+@query("op80_changed_galleries", f"WITH {OBSERVED} SELECT gallery, change_kind FROM chg")
+def _(spark, d):
+    return changed(spark, d)
+
+
+@query("op81_changed_hashes", f"WITH {OBSERVED} SELECT DISTINCT file FROM ({FILES2}) f WHERE EXISTS (SELECT 1 FROM chg WHERE chg.gallery = f.gallery)")
+def _(spark, d):
+    return changes.changed_files(occ(base_lines(spark, d)), occ(target_lines(spark, d)), changed(spark, d))
+
+
+@query("op82_decision_workset", f"WITH {OBSERVED} SELECT DISTINCT file FROM ({FILES2}) f WHERE EXISTS (SELECT 1 FROM chg WHERE chg.gallery = f.gallery) UNION SELECT DISTINCT l_partkey FROM ({TARGET})")
+def _(spark, d):
+    files = changes.changed_files(occ(base_lines(spark, d)), occ(target_lines(spark, d)), changed(spark, d))
+    return changes.decision_workset(files, occ(target_lines(spark, d)).select("file"), 0)
+
+
+FLIPS = "fl AS (SELECT file FROM bd b FULL JOIN nd n USING (file) WHERE coalesce(b.excluded, false) <> coalesce(n.excluded, false))"
+IMPACTED = f"WITH {BOTH}, {OBSERVED}, {FLIPS}, imp AS (SELECT gallery FROM chg UNION SELECT gallery FROM ({FILES2}) f WHERE file IN (SELECT file FROM fl))"
+
+
+def impacted(spark, d):
+    b, n = base_lines(spark, d), target_lines(spark, d)
+    return changes.impacted_galleries(changed(spark, d), decisions.exclusion_delta(decided(b), decided(n), POLICY, POLICY), occ(b), occ(n))
+
+
+@query("op83_impacted_galleries", f"{IMPACTED} SELECT gallery FROM imp")
+def _(spark, d):
+    return impacted(spark, d)
+
+
+@query("op84_impacted_keys", f"{IMPACTED}, {content_sql('b')}, {content_sql('n')} SELECT content_sha256, min(gallery) AS witness FROM (SELECT * FROM bc UNION SELECT * FROM nc) WHERE gallery IN (SELECT gallery FROM imp) GROUP BY 1")
+def _(spark, d):
+    return changes.impacted_keys(impacted(spark, d), content_of(base_lines(spark, d)), content_of(target_lines(spark, d)), "content_sha256")
+
+
+@query("op85_impacted_gids", f"{IMPACTED} SELECT o_custkey AS gid, min(o_orderkey) AS witness FROM orders WHERE o_orderkey IN (SELECT gallery FROM imp) GROUP BY 1")
+def _(spark, d):
+    gids = t(spark, d, "orders").select(F.col("o_orderkey").alias("gallery"), F.col("o_custkey").alias("gid"))
+    return changes.impacted_keys(impacted(spark, d), gids, gids, "gid")
+
+
+VALUES = ["occurrence_count", "artist_count", "maximum_gallery_artist_count"]
+
+
+@query("op86_overlay_delta", f"WITH {BOTH} SELECT coalesce(n.file, b.file) AS file, CASE WHEN n.file IS NULL THEN 'tombstone' ELSE 'shadow' END AS action, n.occurrence_count, n.artist_count, n.maximum_gallery_artist_count FROM nd n FULL JOIN bd b ON n.file = b.file WHERE n.file IS NULL OR b.file IS NULL OR (n.occurrence_count, n.artist_count, n.maximum_gallery_artist_count) <> (b.occurrence_count, b.artist_count, b.maximum_gallery_artist_count)")
+def _(spark, d):
+    return changes.overlay_delta(decided(target_lines(spark, d)), decided(base_lines(spark, d)), "file", VALUES)
+
+
+RUNS = 5
+OVERLAY = f"""anc AS (SELECT r AS run, a AS ancestor, r - a AS depth FROM range({RUNS}) x(r), range({RUNS}) y(a) WHERE a <= r),
+delta AS (SELECT a AS run, p_partkey AS key, CASE WHEN (p_partkey + a) % 3 = 0 THEN 'tombstone' ELSE 'shadow' END AS action, p_size * (a + 1) AS value FROM part, range({RUNS}) y(a) WHERE p_partkey % 5 = a OR p_partkey % 7 = a)"""
+
+
+def overlay(spark, d):
+    runs = spark.range(RUNS)
+    anc = runs.select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.col("id"))).alias("ancestor")).withColumn("depth", F.col("run") - F.col("ancestor"))
+    part = t(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RUNS - 1).cast("long"))).alias("run"))
+    part = part.where("p_partkey % 5 = run or p_partkey % 7 = run")
+    action = F.when((F.col("p_partkey") + F.col("run")) % 3 == 0, "tombstone").otherwise("shadow")
+    return anc, part.select("run", F.col("p_partkey").alias("key"), action.alias("action"), (F.col("p_size") * (F.col("run") + 1)).alias("value"))
+
+
+@query("op40_overlay_resolved", f"WITH {OVERLAY} SELECT p.run, s.key, s.value FROM anc p JOIN delta s ON s.run = p.ancestor AND s.action = 'shadow' WHERE NOT EXISTS (SELECT 1 FROM anc q JOIN delta z ON z.run = q.ancestor WHERE q.run = p.run AND z.key = s.key AND q.depth < p.depth)")
+def _(spark, d):
+    anc, delta = overlay(spark, d)
+    return changes.resolve_overlay(anc, delta, "key", ["value"])
+
+
+@query("op41_ancestry_endpoint", f"WITH {OVERLAY} SELECT a.run, a.ancestor AS endpoint, a.depth FROM anc a WHERE NOT EXISTS (SELECT 1 FROM anc b WHERE b.run = a.run AND b.depth > a.depth)")
+def _(spark, d):
+    return changes.ancestry_endpoint(overlay(spark, d)[0])
+
+
+@query("op87_overlay_validate", "SELECT 0::BIGINT AS violations")
+def _(spark, d):
+    base, target = decided(base_lines(spark, d)), decided(target_lines(spark, d))
+    delta = changes.overlay_delta(target, base, "file", VALUES)
+    runs = base.select(F.lit(0).alias("run"), "file", F.lit("shadow").alias("action"), *VALUES).unionByName(delta.withColumn("run", F.lit(1)))
+    anc = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("run"), F.lit(1).alias("ancestor"), F.lit(0).alias("depth")), F.struct(F.lit(1).alias("run"), F.lit(0).alias("ancestor"), F.lit(1).alias("depth")))).alias("a")).select("a.*")
+    resolved = changes.resolve_overlay(anc, runs, "file", VALUES).drop("run")
+    return changes.differences(resolved, target.select(*resolved.columns)).agg(F.count("*").alias("violations"))
+
+
+# --- selection, projection, order ------------------------------------------------------------------------
+def selection_parts(spark, d):
+    c = candidates_of(spark, d, t(spark, d, "lineitem"))
+    owners = decisions.content_owners(c)
+    members = t(spark, d, "orders").select(F.col("o_orderkey").alias("gallery"), F.col("o_custkey").alias("gid"))
+    return members, decisions.gid_winners(c, owners), content_of(t(spark, d, "lineitem")), owners
+
+
+SELECTED = f"WITH {ALL_W} SELECT o_orderkey AS gallery, o_custkey AS gid FROM orders JOIN qx ON qx.winner = o_orderkey AND qx.gid = o_custkey LEFT JOIN qc ON qc.gallery = o_orderkey LEFT JOIN qw USING (content_sha256) WHERE content_sha256 IS NULL OR qw.owner = o_orderkey"
+
+
+@query("op100_selection_join", SELECTED)
+def _(spark, d):
+    return publication.select_by_joins(*selection_parts(spark, d))
+
+
+@query("op101_selection_exists", f"WITH {ALL_W} SELECT o_orderkey AS gallery, o_custkey AS gid FROM orders o WHERE EXISTS (SELECT 1 FROM qx WHERE qx.winner = o.o_orderkey AND qx.gid = o.o_custkey) AND (NOT EXISTS (SELECT 1 FROM qc WHERE qc.gallery = o.o_orderkey) OR EXISTS (SELECT 1 FROM qc JOIN qw USING (content_sha256) WHERE qc.gallery = o.o_orderkey AND qw.owner = o.o_orderkey))")
+def _(spark, d):
+    return publication.select_by_existence(*selection_parts(spark, d))
+
+
+@query("op129_losers", f"SELECT o_orderkey AS gallery FROM orders WHERE o_orderkey NOT IN (SELECT gallery FROM ({SELECTED}))")
+def _(spark, d):
+    parts = selection_parts(spark, d)
+    return publication.duplicate_losers(parts[0], publication.select_by_joins(*parts))
+
+
+CATALOG = "SELECT p_partkey AS key, title, row_number() OVER (ORDER BY encode(lower(title)), p_partkey) - 1 AS position FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE p_name END AS title FROM part)"
+
+
+def catalog(spark, d):
+    title = publication.display_title(F.when(F.col("p_partkey") % 11 != 0, F.col("p_name")).otherwise(""), F.col("p_brand"))
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("key"), title.alias("title"))
+    return publication.catalog_order(rows, fold=codec.ascii_casefold).select("key", "title", "position")
+
+
+@query("op92_catalog_order", CATALOG)
+def _(spark, d):
+    return catalog(spark, d)
+
+
+@query("op104_casefold_order", "SELECT doc_id, row_number() OVER (ORDER BY encode(lower(title)), doc_id) - 1 AS position FROM (SELECT doc_id, substr(text, 1, 24) AS title FROM documents WHERE lang = 'en') WHERE title NOT SIMILAR TO '.*[^\\x00-\\x7F].*'")
+def _(spark, d):
+    rows = t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 24).alias("title")).where(~F.col("title").rlike(r"[^\x00-\x7F]"))
+    return publication.catalog_order(rows, key="doc_id").select("doc_id", "position")
+
+
+def turn_tags(spark, d):
+    ns = F.when(F.col("role") == "user", "artist").when(F.col("role") == "assistant", "group").otherwise("language")
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("publication"), F.col("turn").alias("position"), ns.alias("namespace"), F.substring("text", 1, 3).alias("value"))
+
+
+TAGS = "SELECT conv_id AS publication, turn AS position, CASE role WHEN 'user' THEN 'artist' WHEN 'assistant' THEN 'group' ELSE 'language' END AS namespace, substr(text, 1, 3) AS value FROM conversations"
+
+
+@query("op105_contributors", f"SELECT publication, row_number() OVER (PARTITION BY publication ORDER BY first_at, namespace, value) - 1 AS position, value AS name, namespace AS role FROM (SELECT publication, value, namespace, min(position) AS first_at FROM ({TAGS}) WHERE namespace <> 'language' AND value <> '' GROUP BY ALL)")
+def _(spark, d):
+    return publication.contributors(turn_tags(spark, d))
+
+
+@query("op106_subjects", TAGS)
+def _(spark, d):
+    return publication.subjects(turn_tags(spark, d))
+
+
+@query("op107_language", f"SELECT publication, coalesce((SELECT arg_min(value, position) FROM ({TAGS}) l WHERE l.publication = p.publication AND namespace = 'language' AND value <> ''), 'und') AS language FROM (SELECT DISTINCT publication FROM ({TAGS})) p")
+def _(spark, d):
+    tags = turn_tags(spark, d)
+    return publication.languages(tags.select("publication").distinct(), tags)
+
+
+@query("op121_member_plan", f"""WITH {ALL}, f AS (SELECT l_orderkey AS gallery, l_partkey AS file, l_linenumber - 1 AS position, CASE WHEN l_linenumber = 1 THEN 'galleryinfo.txt' ELSE 'f' || l_linenumber || CASE l_returnflag WHEN 'A' THEN '.GIF' WHEN 'N' THEN '.jpg' ELSE '.txt' END END AS name FROM lineitem)
+SELECT gallery, position, file, excluded, transform, CASE WHEN excluded THEN NULL ELSE printf('%016x', position) || '__' || CASE WHEN role = 'METADATA' THEN 'metadata.txt' WHEN transform = 'GIF_NORMALIZE' THEN 'content.gif' WHEN transform = 'JPEG_NORMALIZE' THEN 'content.jpg' ELSE 'content.bin' END END AS member_name FROM (
+SELECT f.gallery, f.position, f.file, CASE WHEN name = 'galleryinfo.txt' THEN 'METADATA' ELSE 'CONTENT' END AS role, CASE WHEN name = 'galleryinfo.txt' THEN false ELSE coalesce(qd.excluded, false) END AS excluded, CASE WHEN name = 'galleryinfo.txt' THEN 'RAW_COPY' WHEN name LIKE '%.GIF' THEN 'GIF_NORMALIZE' WHEN name LIKE '%.jpg' THEN 'JPEG_NORMALIZE' ELSE 'RAW_COPY' END AS transform FROM f LEFT JOIN qd USING (file))""")
+def _(spark, d):
+    ext = F.when(F.col("l_returnflag") == "A", ".GIF").when(F.col("l_returnflag") == "N", ".jpg").otherwise(".txt")
+    name = F.when(F.col("l_linenumber") == 1, "galleryinfo.txt").otherwise(F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), ext))
+    files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("gallery"), F.col("l_partkey").alias("file"), (F.col("l_linenumber") - 1).alias("position"), name.alias("name"))
+    files = files.withColumn("role", codec.file_role(F.col("name")))
+    return publication.member_plan(files, decisions.exclusions(decided(t(spark, d, "lineitem")), POLICY)).select("gallery", "position", "file", "excluded", "transform", "member_name")
+
+
+# --- artifacts and catalog differences -------------------------------------------------------------------
+def sides(spark, d):
+    side = lambda lines: content_of(lines).select(F.col("gallery").alias("key"), F.col("content_sha256").alias("semantics"))
+    return side(base_lines(spark, d)), side(target_lines(spark, d))
+
+
+SIDES = f"{BOTH}, {content_sql('b')}, {content_sql('n')}"
+OPERATIONS = f"WITH {SIDES} SELECT coalesce(n.gallery, b.gallery) AS key, CASE WHEN b.gallery IS NULL THEN 'CREATE' WHEN n.gallery IS NULL THEN 'DELETE' WHEN b.content_sha256 = n.content_sha256 THEN 'UNCHANGED' ELSE 'REBUILD' END AS operation FROM bc b FULL JOIN nc n ON b.gallery = n.gallery"
+
+
+@query("op124_artifact_operation", OPERATIONS)
+def _(spark, d):
+    return publication.artifact_operations(*sides(spark, d))
+
+
+@query("op125_operation_exists", OPERATIONS)
+def _(spark, d):
+    return publication.artifact_operations_by_existence(*sides(spark, d))
+
+
+@query("op126_carried_artifacts", f"WITH {SIDES} SELECT b.gallery AS key, b.content_sha256 AS semantics FROM bc b JOIN nc n ON b.gallery = n.gallery AND b.content_sha256 = n.content_sha256")
+def _(spark, d):
+    old, new = sides(spark, d)
+    return publication.carried_artifacts(publication.artifact_operations(old, new), old)
+
+
+@query("op71_stage_counters", f'SELECT count(*) FILTER (operation = \'CREATE\') AS "CREATE", count(*) FILTER (operation = \'REBUILD\') AS "REBUILD", count(*) FILTER (operation = \'DELETE\') AS "DELETE", count(*) FILTER (operation = \'UNCHANGED\') AS "UNCHANGED" FROM ({OPERATIONS})')
+def _(spark, d):
+    return publication.operation_counts(publication.artifact_operations(*sides(spark, d)))
+
+
+@query("op127_new_removed", f"WITH {SIDES} SELECT gallery AS key, 'NEW' AS kind FROM nc WHERE gallery NOT IN (SELECT gallery FROM bc) UNION ALL SELECT gallery, 'REMOVED' FROM bc WHERE gallery NOT IN (SELECT gallery FROM nc)")
+def _(spark, d):
+    return publication.new_and_removed(*sides(spark, d))
+
+
+def items(spark, d, lines):
+    orders = t(spark, d, "orders").join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    rows = orders.select(F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice")
+    kids = lines.select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("tag"))
+    return rows, kids
+
+
+@query("op128_changed", f"SELECT DISTINCT key FROM (SELECT b.l_orderkey AS key FROM ({BASE}) b WHERE b.l_orderkey IN (SELECT l_orderkey FROM ({TARGET})) AND NOT EXISTS (SELECT 1 FROM ({TARGET}) n WHERE n.l_orderkey = b.l_orderkey AND n.l_linenumber = b.l_linenumber AND n.l_partkey = b.l_partkey) UNION ALL SELECT n.l_orderkey FROM ({TARGET}) n WHERE n.l_orderkey IN (SELECT l_orderkey FROM ({BASE})) AND NOT EXISTS (SELECT 1 FROM ({BASE}) b WHERE n.l_orderkey = b.l_orderkey AND n.l_linenumber = b.l_linenumber AND n.l_partkey = b.l_partkey))")
+def _(spark, d):
+    old, old_kids = items(spark, d, base_lines(spark, d))
+    new, new_kids = items(spark, d, target_lines(spark, d))
+    return publication.changed_items(old, new, ["o_custkey", "o_totalprice"], {"subject": (old_kids, new_kids, ["position", "tag"])})
+
+
+@query("op130_unprepared", f"SELECT key, operation FROM ({OPERATIONS}) WHERE operation IN ('CREATE', 'REBUILD') AND key % 3 <> 0")
+def _(spark, d):
+    old, new = sides(spark, d)
+    return publication.unprepared(publication.artifact_operations(old, new), new.where("key % 3 = 0").select("key"))
+
+
+@query("op131_next_preparation", f"SELECT key, operation FROM ({OPERATIONS}) WHERE operation IN ('CREATE', 'REBUILD') AND key % 3 <> 0 ORDER BY key LIMIT 1")
+def _(spark, d):
+    old, new = sides(spark, d)
+    return publication.next_preparation(publication.artifact_operations(old, new), new.where("key % 3 = 0").select("key"))
+
+
+# --- serving ---------------------------------------------------------------------------------------------
+@query("op140_pinned_revision", "SELECT o_orderkey AS revision, o_custkey AS channel FROM orders WHERE o_custkey = 7 AND o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_custkey = 7)")
+def _(spark, d):
+    commits = t(spark, d, "orders").select(F.col("o_orderkey").alias("revision"), F.col("o_custkey").alias("channel"))
+    head = commits.groupBy("channel").agg(F.max("revision").alias("revision"))
+    return serving.pinned(head, commits, 7)
+
+
+@query("op141_page", f"SELECT * FROM ({CATALOG}) WHERE position >= 40 AND position < 168")
+def _(spark, d):
+    return serving.page_by_position(catalog(spark, d), 40, 128)
+
+
+@query("op141_page_filtered", f"SELECT c.*, count(*) OVER () AS total FROM ({CATALOG}) c WHERE key IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1) ORDER BY position LIMIT 50 OFFSET 20")
+def _(spark, d):
+    made = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("key")).distinct()
+    return serving.page_filtered(catalog(spark, d), made, 20, 50)
+
+
+@query("op142_point_lookup", f"SELECT 'urn:stratalog:gallery:' || key AS id, key, title, position FROM ({CATALOG}) WHERE key = 42")
+def _(spark, d):
+    rows = catalog(spark, d).withColumn("id", codec.publication_id(F.col("key")))
+    return rows.where(F.col("key") == codec.decode_publication_id(F.lit("urn:stratalog:gallery:42")))
+
+
+@query("op144_lookup_names", "SELECT p_partkey AS key, 'item-' || p_partkey || '.cbz' AS name FROM part WHERE p_partkey IN (3, 99, 12, 7)")
+def _(spark, d):
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("key"), codec.artifact_name(F.col("p_partkey")).alias("name"))
+    return serving.lookup_names(rows, ["item-99.cbz", "item-3.cbz", "item-99.cbz", "item-12.cbz", "item-7.cbz", "item-007.cbz"])
+
+
+@query("op145_nested_children", "SELECT o_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS children FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _(spark, d):
+    kids = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    rows = serving.nested_children(t(spark, d, "orders").select("o_orderkey"), kids, "o_orderkey", ["l_linenumber", "l_partkey"]).where("children is not null")
+    return rows.select("o_orderkey", F.array_join(F.transform("children", lambda c: F.concat(c["l_linenumber"].cast("string"), F.lit(":"), c["l_partkey"].cast("string"))), ",").alias("children"))
+
+
+@query("op147_keyset_page", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey > 20 OR (o_custkey = 20 AND o_orderkey > 500) ORDER BY 1, 2 LIMIT 100")
+def _(spark, d):
+    return serving.keyset_page(t(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], (20, 500), 100)
+
+
+NOW = 1_000_000_000_000_000
+
+
+@query("op148_candidate_states", f"""WITH asked AS (SELECT DISTINCT o_custkey AS gid FROM orders UNION SELECT c_custkey FROM customer),
+cat AS (SELECT o_custkey AS gid, min(o_orderkey) AS gallery FROM orders GROUP BY 1), due AS (SELECT o_orderkey AS gallery FROM orders WHERE epoch_us(o_orderdate) <= {NOW})
+SELECT gid, cat.gid IS NOT NULL AS cataloged, cat.gid IS NOT NULL AND due.gallery IS NOT NULL AND gid % 5 <> 0 AND gid % 7 <> 0 AS redownload_required, gid % 3 = 0 AS requested FROM asked LEFT JOIN cat USING (gid) LEFT JOIN due ON due.gallery = cat.gallery""")
+def _(spark, d):
+    orders, cust = t(spark, d, "orders"), t(spark, d, "customer").select(F.col("c_custkey").alias("gid"))
+    asked = orders.select(F.col("o_custkey").alias("gid")).union(cust)
+    cat = orders.groupBy(F.col("o_custkey").alias("gid")).agg(F.min("o_orderkey").alias("gallery"))
+    schedule = orders.select(F.col("o_orderkey").alias("gallery"), codec.micros(F.col("o_orderdate")).alias("redownload_at"))
+    every = asked.distinct()
+    return serving.candidate_states(asked, cat, schedule, every.where("gid % 5 = 0"), every.where("gid % 7 = 0"), every.where("gid % 3 = 0"), NOW)
+
+
+@query("op149_redownload_page", f"SELECT s.redownload_at, s.gallery, c.o_custkey AS gid, c.o_custkey IS NOT NULL AND c.o_custkey % 5 <> 0 AND c.o_custkey % 7 <> 0 AS eligible FROM (SELECT epoch_us(o_orderdate) AS redownload_at, o_orderkey AS gallery FROM orders WHERE epoch_us(o_orderdate) <= {NOW} ORDER BY 1, 2 LIMIT 64) s LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 <> 0) c ON c.o_orderkey = s.gallery")
+def _(spark, d):
+    orders = t(spark, d, "orders")
+    schedule = orders.select(F.col("o_orderkey").alias("gallery"), codec.micros(F.col("o_orderdate")).alias("redownload_at"))
+    cat = orders.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("gallery"), F.col("o_custkey").alias("gid"))
+    gids = orders.select(F.col("o_custkey").alias("gid")).distinct()
+    return serving.pending_redownloads(schedule, cat, gids.where("gid % 5 = 0"), gids.where("gid % 7 = 0"), NOW, None, 64)
+
+
+# --- ingest ----------------------------------------------------------------------------------------------
+@query("op08_discovery", "SELECT c_name AS locator, sha256(c_name) AS locator_sha256, row_number() OVER (ORDER BY sha256(c_name)) - 1 AS position FROM customer")
+def _(spark, d):
+    return ingest.discovery(t(spark, d, "customer").select(F.col("c_name").alias("locator")))
+
+
+@query("op10_pending", "SELECT doc_id, doc_id AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return ingest.pending(t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("position")), t(spark, d, "labels"), "doc_id")
+
+
+@query("op11_assembly", "SELECT o_orderkey AS gallery, o_custkey AS observation, n AS file_count, l.quality IS NOT NULL AS complete FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) f ON l_orderkey = o_orderkey LEFT JOIN labels l ON l.doc_id = o_orderkey".replace("l.quality IS NOT NULL", "n IS NOT NULL AND o_custkey IS NOT NULL").replace(" LEFT JOIN labels l ON l.doc_id = o_orderkey", ""))
+def _(spark, d):
+    orders = t(spark, d, "orders")
+    stats = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("gallery")).agg(F.count("*").alias("file_count"))
+    return ingest.assembly(orders.select(F.col("o_orderkey").alias("gallery")), orders.select(F.col("o_orderkey").alias("gallery"), F.col("o_custkey").alias("observation")), stats, "gallery")
+
+
+@query("op12_assembly_totals", f"SELECT count(*) AS gallery_count, CAST(sum(file_count) AS BIGINT) AS file_count, CAST(sum(byte_count) AS BIGINT) AS byte_count FROM ({COUNTS})")
+def _(spark, d):
+    return ingest.assembly_totals(decisions.file_counts(sized_files(spark, d)))
+
+
+@query("op13_hash_chain", "WITH RECURSIVE r AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i, n_name FROM nation), c AS (SELECT 0::BIGINT AS i, sha256('') AS h UNION ALL SELECT c.i + 1, sha256(c.h || r.n_name) FROM c JOIN r ON r.i = c.i + 1) SELECT max(i) AS event_count, arg_max(h, i) AS chain_sha256 FROM c")
+def _(spark, d):
+    return effects.hash_chain(t(spark, d, "nation"), "n_nationkey", F.col("n_name"))
+
+
+@query("op14_identity_allocate", "WITH k AS (SELECT c_custkey AS key, c_custkey * 10 AS id FROM customer WHERE c_custkey % 4 = 0) SELECT key, id FROM k UNION ALL SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) + (SELECT max(id) FROM k) FROM customer WHERE c_custkey % 4 <> 0")
+def _(spark, d):
+    cust = t(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return ingest.allocate(cust, cust.where("key % 4 = 0").select("key", (F.col("key") * 10).alias("id")), "key", "id")
+
+
+@query("op17_encode_terms", "SELECT namespace, value, row_number() OVER (ORDER BY namespace, value) AS term_id FROM (SELECT DISTINCT p_brand AS namespace, p_type AS value FROM part)")
+def _(spark, d):
+    tags = t(spark, d, "part").select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("value"))
+    return ingest.encode_terms(tags, spark.range(0).select(F.lit("").alias("namespace"), F.lit("").alias("value"), F.col("id").alias("term_id")))
+
+
+@query("op21_fd_check", "SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
+def _(spark, d):
+    return retention.functional_dependency_violations(t(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("op22_merge_match", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'left' WHEN l.doc_id IS NULL THEN 'right' ELSE 'differs' END AS missing FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL OR (d.n_chars % 2) IS DISTINCT FROM l.quality")
+def _(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("even"))
+    return ingest.mismatches(docs, t(spark, d, "labels").select("doc_id", "quality"), "doc_id", [("even", "quality")])
+
+
+@query("op26_hash_cache", "SELECT o_orderkey, o_custkey, o_orderkey % 100 AS stat, CASE WHEN o_custkey % 2 = 0 AND (o_orderkey % 100) % 2 = 0 THEN sha256(o_custkey || '-' || (o_orderkey % 100)) END AS digest FROM orders")
+def _(spark, d):
+    wanted = t(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 100).alias("stat"))
+    sources = wanted.where("o_custkey % 2 = 0").select("o_custkey", F.col("o_custkey").alias("source_id")).distinct()
+    digests = wanted.where("stat % 2 = 0").select(F.col("o_custkey").alias("source_id"), "stat").distinct().withColumn("digest", F.sha2(F.concat(F.col("source_id").cast("string"), F.lit("-"), F.col("stat").cast("string")), 256))
+    return ingest.cache_lookup(wanted, sources, digests, ["o_custkey"], "stat").select("o_orderkey", "o_custkey", "stat", "digest")
+
+
+# --- effects and queues ----------------------------------------------------------------------------------
+@query("op160_effect_derivation", "SELECT user_id AS gid, 'REMOVED' AS kind FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') UNION ALL SELECT user_id, 'DELETED' FROM events WHERE event_type = 'purchase' AND event_id % 3 <> 0")
+def _(spark, d):
+    ev = t(spark, d, "events").select(F.col("user_id").alias("gid"), F.col("event_id").alias("token"), "event_type")
+    removed = ev.where("event_type = 'error'").select("gid").distinct()
+    return effects.derive_effects(removed, ev.where("event_type = 'purchase'"), ev.where("event_type = 'signup'"), ev.where("event_type = 'purchase' and token % 3 = 0"))
+
+
+@query("op161_event_sequence", "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS sequence_no, event_id FROM events")
+def _(spark, d):
+    return effects.sequenced(t(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], 8).select("sequence_no", "event_id")
+
+
+@query("op162_effect_seal", "SELECT event_type, count(*) AS event_count FROM events GROUP BY 1")
+def _(spark, d):
+    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("event_count"))
+
+
+@query("op163_ack_range", "SELECT * FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS sequence_no, event_id FROM events) WHERE sequence_no BETWEEN 100 AND 299")
+def _(spark, d):
+    seq = effects.sequenced(t(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], 8).select("sequence_no", "event_id")
+    return effects.acknowledged_range(seq, 99, 299)
+
+
+REQUESTS = "old AS (SELECT user_id AS gid, max('u' || event_id) AS url, max(event_id) AS token FROM events WHERE event_type = 'view' GROUP BY 1), new AS (SELECT user_id AS gid, max(CASE WHEN event_id % 2 = 0 THEN '' ELSE 'n' || event_id END) AS url, max(event_id) + 1 AS token FROM events WHERE event_type = 'click' GROUP BY 1)"
+
+
+def requests(spark, d):
+    ev = t(spark, d, "events")
+    url = F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("n"), F.col("event_id").cast("string")))
+    old = ev.where("event_type = 'view'").groupBy(F.col("user_id").alias("gid")).agg(F.max(F.concat(F.lit("u"), F.col("event_id").cast("string"))).alias("url"), F.max("event_id").alias("token"))
+    new = ev.where("event_type = 'click'").groupBy(F.col("user_id").alias("gid")).agg(F.max(url).alias("url"), (F.max("event_id") + 1).alias("token"))
+    return old, new
+
+
+@query("op164_request_merge", f"WITH {REQUESTS} SELECT coalesce(n.gid, o.gid) AS gid, coalesce(nullif(n.url, ''), o.url, n.url) AS url, coalesce(n.token, o.token) AS token FROM old o FULL JOIN new n ON o.gid = n.gid")
+def _(spark, d):
+    return effects.merge_requests(*requests(spark, d))
+
+
+@query("op165_exact_completion", f"WITH {REQUESTS} SELECT gid, url, token FROM old WHERE token % 2 = 1")
+def _(spark, d):
+    old, _new = requests(spark, d)
+    return effects.complete_requests(old, old.where("token % 2 = 0").select("gid", "token")).select("gid", "url", "token")
+
+
+@query("op166_found_clears_missing", "SELECT DISTINCT user_id AS gid FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view' AND event_id % 20 = 0)")
+def _(spark, d):
+    ev = t(spark, d, "events").select(F.col("user_id").alias("gid"), "event_type", "event_id")
+    return effects.clear_missing(ev.where("event_type = 'error'").select("gid").distinct(), ev.where("event_type = 'view' and event_id % 20 = 0"))
+
+
+@query("op167_latest_head", "SELECT user_id AS gid, arg_max(event_type || '-' || event_id, event_id) AS token, max(event_id) AS generation FROM events GROUP BY 1")
+def _(spark, d):
+    log = t(spark, d, "events").select(F.col("user_id").alias("gid"), F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("token"), F.col("event_id").alias("generation"))
+    return effects.latest_heads(log)
+
+
+# --- retention and audits --------------------------------------------------------------------------------
+@query("op188_retention_antijoin", "SELECT p_partkey FROM part p WHERE " + " AND ".join(f"NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_linenumber = {n})" for n in range(7, 8)) + " AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = p.p_partkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p.p_partkey)")
+def _(spark, d):
+    lines = t(spark, d, "lineitem")
+    refs = [lines.where(f"l_linenumber = {n}").select("l_partkey") for n in range(7, 8)]
+    refs += [t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), t(spark, d, "supplier").select("s_suppkey")]
+    return retention.unreferenced(t(spark, d, "part").select("p_partkey"), "p_partkey", refs)
+
+
+@query("op180_terminal_builds", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey NOT IN (SELECT event_id FROM events) AND o_orderkey NOT IN (SELECT doc_id FROM documents)")
+def _(spark, d):
+    keep = [t(spark, d, "lineitem").select("l_orderkey")]
+    drop = [t(spark, d, "events").select("event_id"), t(spark, d, "documents").select("doc_id")]
+    return retention.eligible(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", F.col("o_orderstatus").isin("F", "P"), keep, drop).select("o_orderkey")
+
+
+@query("op34_shard", "SELECT p_partkey, CAST(('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 2))::INT AS INT) AS digest_shard, CAST(p_partkey % 256 AS BIGINT) AS key_shard FROM part")
+def _(spark, d):
+    return t(spark, d, "part").select("p_partkey", retention.digest_shard(F.unhex(F.sha2(F.col("p_partkey").cast("string"), 256))).alias("digest_shard"), retention.key_shard(F.col("p_partkey")).alias("key_shard"))
+
+
+@query("op195_age_sweep", "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 10 = 0)")
+def _(spark, d):
+    ev = t(spark, d, "events")
+    old = retention.aged(ev, "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return retention.unreferenced(old, "user_id", [ev.where("event_type = 'purchase' and event_id % 10 = 0").select("user_id")]).select("event_id")
+
+
+@query("op196_orphan_audit", "SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def _(spark, d):
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return retention.missing_parents(t(spark, d, "lineitem").select("l_orderkey"), orders, "l_orderkey").agg(F.count("*").alias("orphans"))
+
+
+@query("op196_contiguity_audit", "SELECT l_orderkey, count(*) AS n, min(l_linenumber - 1) AS first, max(l_linenumber - 1) AS last, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
+def _(spark, d):
+    return retention.not_contiguous(t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("position")), "l_orderkey", "position")
+
+
+@query("op30_sealed_family", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+def _(spark, d):
+    lines = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return retention.partial_families(t(spark, d, "orders"), {"first": lines.where("l_linenumber = 1"), "second": lines.where("l_linenumber = 2")}, "o_orderkey")
+
+
+@query("op_w1_insert_or_compare", "SELECT user_id AS gid FROM (SELECT user_id, min(event_id) AS o, max(event_id) AS n FROM events GROUP BY 1) WHERE o <> n")
+def _(spark, d):
+    ev = t(spark, d, "events").groupBy(F.col("user_id").alias("gid")).agg(F.min("event_id").alias("o"), F.max("event_id").alias("n"))
+    return ingest.insert_or_compare(ev.select("gid", F.col("o").alias("value")), ev.select("gid", F.col("n").alias("value")), "gid", "value")[1]
+
+
+# --- codecs ----------------------------------------------------------------------------------------------
+def sql_bytes(text: str) -> str:
+    return f"unhex('{text.encode().hex()}')"
+
+
+def sql_uint(expr: str, digits: int) -> str:
+    return f"unhex(lpad(hex(CAST({expr} AS BIGINT)), {digits}, '0'))"
+
+
+@query("codec_publication_key", f"SELECT o_orderkey, sha256({sql_bytes('stratalog-publication-key')} || unhex('00') || unhex('00000001') || {sql_uint('o_orderkey', 16)}) AS publication_key FROM orders")
+def _(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", codec.hex_lower(codec.publication_key(F.col("o_orderkey"))).alias("publication_key"))
+
+
+@query("codec_gallery_key", f"SELECT o_orderkey, sha256({sql_bytes('stratalog-gallery-key')} || unhex('00') || unhex('00000001') || unhex(sha256(o_orderpriority)) || unhex(sha256(CAST(o_orderkey AS VARCHAR)))) AS gallery_key FROM orders")
+def _(spark, d):
+    sha = lambda c: F.unhex(F.sha2(c, 256))
+    return t(spark, d, "orders").select("o_orderkey", codec.hex_lower(codec.gallery_key(sha("o_orderpriority"), sha(F.col("o_orderkey").cast("string")))).alias("gallery_key"))
+
+
+@query("codec_canonical_value", f"SELECT doc_id, sha256({sql_bytes('stratalog-canonical-value')} || unhex('00') || unhex('00000001') || unhex('00000017') || {sql_bytes('catalog_summary_utf8_v1')} || {sql_uint('octet_length(encode(text))', 16)} || encode(text)) AS digest FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", codec.hex_lower(codec.canonical_value_digest("catalog_summary_utf8_v1", F.col("text").cast("binary"))).alias("digest"))
+
+
+@query("codec_urn", "SELECT p_partkey, 'urn:stratalog:gallery:' || p_partkey AS publication_id, 'urn:stratalog:artifact:cbz:' || p_partkey || ':sha256:' || sha256(p_name) AS artifact_id, CASE WHEN p_partkey > 0 THEN p_partkey END AS decoded FROM part")
+def _(spark, d):
+    rows = t(spark, d, "part").withColumn("sha", F.unhex(F.sha2("p_name", 256)))
+    aid = codec.artifact_id(F.col("p_partkey"), F.col("sha"))
+    return rows.select("p_partkey", codec.publication_id(F.col("p_partkey")).alias("publication_id"), aid.alias("artifact_id"), codec.decode_artifact_id(aid)["gid"].alias("decoded"))
+
+
+@query("codec_roles", "SELECT doc_id, lower(substr(text, 1, 16)) AS folded, length(text) AS scalars FROM documents WHERE lang = 'en'")
+def _(spark, d):
+    return t(spark, d, "documents").where("lang = 'en'").select("doc_id", codec.ascii_fold(F.substring("text", 1, 16)).alias("folded"), codec.scalar_count(F.col("text")).cast("long").alias("scalars"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Files with their decision and the owner of the content they are in."""
+    lines = t(spark, d, "lineitem")
+    c = candidates_of(spark, d, lines)
+    owned = decisions.content_owners(c).select(F.col("owner").alias("gallery"), "content_sha256")
+    return decisions.exclusions(decided(lines), POLICY).join(occ(lines).select("gallery", "file"), "file").join(owned, "gallery")
