@@ -6,7 +6,6 @@ Python worker follows the longest single text and not the batch.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_stage, stage, work_dir  # noqa: F401
+
 #: Bytes of text that one numpy pass takes at a time (a longer text is a slice by itself).
 SLICE_BYTES = 1 << 18
 #: Token class of the contracts: everything but space and \t \n \v \f \r.
@@ -26,38 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (own folder only if none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
-            held = spark.sparkContext.getCheckpointDir()
-        base = held
-    return f"{base.rstrip('/')}/stratalog-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more (through Hadoop's file system, as they were written)."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def ascii_lower(c: Column | str) -> Column:
     """A-Z only; other letters keep their case."""
     c = F.col(c) if isinstance(c, str) else c
@@ -73,8 +42,8 @@ def text_array(col: pa.Array) -> pa.Array:
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts in a row and the offsets of each (n + 1)."""
-    col = text_array(col)
+    """Bytes of all texts (or binaries) side by side and the offsets of each (n + 1)."""
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = col.buffers()

@@ -154,25 +154,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sl
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and spans of every document.
 
     contaminated: any hit, and ``share`` * hits >= words."""
+    return verdicts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, slop, share, block_bytes)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, slop: int = 0, share: int = 20, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns; nothing is exchanged."""
+    held = phrase_blocks(benchmark, window, block_bytes)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, n, got in matched(batches, at, held, window, slop):
+            yield batch.slice(i, n).filter(pa.array([not (g[1] > 0 and share * g[1] >= g[0]) for g in got]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def matched(batches: Iterator[pa.RecordBatch], at: int, held: list, window: int, slop: int) -> Iterator[tuple]:
+    """The batch, first row, number of rows and match_rows of each slice."""
+    only = [Phrases(held[0].value, window)] if len(held) == 1 else None
+    for batch in batches:
+        texts = text_array(batch.column(at))
+        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        for i, j in slices(off, 1 << 20 if only else 1 << 23):
+            yield batch, i, j - i, match_rows(texts.slice(i, j - i).to_pylist(), only or (Phrases(b.value, window) for b in held), slop)
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, share: int, block_bytes: int) -> DataFrame:
     held = phrase_blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = [Phrases(held[0].value, window)] if len(held) == 1 else None
-        for batch in batches:
-            texts = text_array(batch.column(1))
-            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            for i, j in slices(off, 1 << 20 if only else 1 << 23):
-                got = match_rows(texts.slice(i, j - i).to_pylist(), only or (Phrases(b.value, window) for b in held), slop)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        *(pa.array(x, pa.int64()) for x in ([g[0] for g in got], [g[1] for g in got], [len(g[2]) for g in got])),
-                        pa.array([hashlib.sha256(",".join(g[2]).encode()).hexdigest() for g in got]),
-                        pa.array([g[1] > 0 and share * g[1] >= g[0] for g in got]),
-                        pa.array([g[2] for g in got], pa.list_(pa.string())),
-                        pa.array([[{"start": a, "end": b} for a, b in g[3]] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+        for batch, i, n, got in matched(batches, 1, held, window, slop):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(i, n),
+                    *(pa.array(x, pa.int64()) for x in ([g[0] for g in got], [g[1] for g in got], [len(g[2]) for g in got])),
+                    pa.array([hashlib.sha256(",".join(g[2]).encode()).hexdigest() for g in got]),
+                    pa.array([g[1] > 0 and share * g[1] >= g[0] for g in got]),
+                    pa.array([g[2] for g in got], pa.list_(pa.string())),
+                    pa.array([[{"start": a, "end": b} for a, b in g[3]] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                ],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+            )
+
+    return docs.mapInArrow(run, SCHEMA)

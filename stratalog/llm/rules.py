@@ -187,9 +187,16 @@ def estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
     return stage(moments(near, F.lit(True), CONSISTENCY_975), "estimate")
 
 
-def judge(docs: DataFrame, *, least: int = 200, core: float = 0.75, steps: int = 3, cutoff: float = 30.0) -> DataFrame:
-    """Base counts of every row with base_failed, d2 (null where base_failed) and kept."""
-    rows = stage(base_counts(docs).withColumn("base_failed", base_failed()), "counts")
+def passing(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with their columns."""
+    whole = docs.withColumn("_row", F.struct(*(docs[c] for c in docs.columns)))
+    return judge(whole, keep=("_row",), **options).where("kept").select("_row.*")
+
+
+def judge(docs: DataFrame, *, keep: tuple[str, ...] = (), least: int = 200, core: float = 0.75, steps: int = 3, cutoff: float = 30.0) -> DataFrame:
+    """Base counts of every row with base_failed, d2 (null where base_failed), kept and the columns of ``keep``
+    (whose names must differ from the counts')."""
+    rows = stage(base_counts(docs, *keep).withColumn("base_failed", base_failed()), "counts")
     vectors = rows.select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector())))
     passed = strata(vectors.where(~F.col("base_failed")), least)
     found = distances(passed, estimates(stage(passed.select("g", *X), "vectors"), core, steps))
