@@ -255,3 +255,14 @@ def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, small: i
     classes = classes.join(names, "key", "left").select("key", "key2", F.coalesce("component_id", "rep").alias("component_id"), "n_copies")
     out = rows.select("doc_id", "n_shingles", "key", "key2").join(stage(classes, "classes"), ["key", "key2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id (rows without words all stay)."""
+    found = join(docs, **options).where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_doc")).distinct()
+    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    again = rows.groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count() == 0:
+        return rows
+    words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) > 0  # repeated ids: one row of each id with words
+    return rows.where(words).dropDuplicates(["doc_id"]).unionByName(rows.where(~words))
