@@ -12,7 +12,10 @@ equal anchors.  An anchor's windows form a segment, a run of bytes.  Rounds:
 
 1. anchors meet in buckets of their next ``length - reach + 1`` bytes; single anchors are done;
 2. buckets are refined by the whole segment; where segments agree, all their windows repeat;
-3. where a bucket holds different segments, their windows are refined one by one.
+3. where a bucket holds different segments, their bytes are fetched and buckets are refined by runs of 16
+   windows: bytes that all of a run share and no other segment has end it, bytes that any of a run covers and
+   another segment has repeat it whole;
+4. the windows of the runs in between are refined one by one.
 
 Buckets are only ever counted (least, greatest and number, combined on the map side) and joined back, so one
 passage in a third of all documents is no task of its own.  Covered runs meet the texts again at the end.
@@ -36,7 +39,7 @@ from .common import flat, mix, slices, stage
 NONE = -(1 << 63)
 #: A longer text is cut into pieces of so many window starts, each with the bytes its windows need.
 PIECE = 1 << 20
-ANCHORS = "doc long, th long, key long, seg long, lo long, hi long"
+ANCHORS = "doc long, th long, key long, seg long, anchor long, lo long, hi long"
 
 
 class Names:
@@ -114,33 +117,76 @@ def anchor_rows(length: int, reach: int):
                 shape = ((anchor - lo) * length + (hi - lo)).astype(np.uint64)
                 seg = mix(mix(names.of(lo, length), names.of(hi, length)), shape)
                 base = place[text] - off[text]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows[text]], th[rows[text]], key.view(np.int64), seg.view(np.int64), lo + base, hi + base)], ["doc", "th", "key", "seg", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[rows[text]], th[rows[text]], key.view(np.int64), seg.view(np.int64), anchor + base, lo + base, hi + base)], ["doc", "th", "key", "seg", "anchor", "lo", "hi"])
 
     return run
 
 
-def window_rows(length: int):
-    """Every window of the segments asked for (text, spans): name, segment, start."""
+def fragment_rows(length: int):
+    """The bytes of the segments asked for (doc, th, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = flat(batch.column(2))
-            asked = batch.column(3)
+            docs, ths, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for row in range(len(batch)):
                 spans = asked[row].values
-                lo, hi, key, seg = (spans.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "key", "seg"))
-                order = np.argsort(lo)
-                part = np.searchsorted(lo[order], np.arange(0, int(lo.max()) + PIECE, PIECE))
-                for a, b in zip(part, [*part[1:], len(lo)], strict=False):  # bounded pieces of a long text
-                    o = order[a:b]
-                    if not len(o):
-                        continue
-                    first, last = int(lo[o].min()), int(hi[o].max()) + length
-                    names = Names(data[off[row] + first : off[row] + last])
-                    n = hi[o] - lo[o] + 1
-                    at = np.repeat(lo[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    name = mix(names.of(at - first, length), np.repeat(key[o], n).view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[row].as_py())), pa.array(np.full(len(at), batch.column(1)[row].as_py())), pa.array(name.view(np.int64)), pa.array(np.repeat(seg[o], n)), pa.array(at)], ["doc", "th", "name", "seg", "at"])
+                lo, hi, key, seg, anchor = (spans.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "key", "seg", "anchor"))
+                body = [data[off[row] + a : off[row] + b + length].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                n = len(lo)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ([docs[row]] * n, [ths[row]] * n, key, seg, anchor, lo, hi)), pa.array(body, pa.binary())], ["doc", "th", "key", "seg", "anchor", "lo", "hi", "body"])
+
+    return run
+
+
+STEP = 16
+
+
+def interval_rows(length: int):
+    """For each run of STEP window starts, aligned to the anchor: the name of the bytes that all windows of the
+    whole run share, and the name of the bytes that the segment's part a..b of the run covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, th, key, seg, anchor, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            bodies, off = flat(batch.column(7))
+            for i, j in slices(off):
+                names = Names(bodies[off[i] : off[j]])
+                # run k starts at anchor - STEP * (k + 1) + 1, so that run 0 ends at the anchor
+                last, first = (anchor[i:j] - lo[i:j]) // STEP, (anchor[i:j] - hi[i:j]) // STEP
+                n = last - first + 1
+                row = np.repeat(np.arange(i, j), n)
+                place = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = anchor[row] - STEP * (place + 1) + 1
+                a, b = np.maximum(begin, lo[row]), np.minimum(begin + STEP - 1, hi[row])
+                move = off[row] - off[i] - lo[row]  # from places in the text to places in the slice
+                own = key[row].view(np.uint64)
+                inside = mix(mix(names.of(begin + STEP - 1 + move, length - STEP + 1), place.astype(np.uint64)), own)
+                shape = ((anchor[row] - a) * STEP + (b - a)).astype(np.uint64)
+                around = mix(mix(mix(names.of(a + move, length), names.of(b + move, length)), shape), own)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], th[row], seg[row], lo[row], a, b, inside.view(np.int64), around.view(np.int64))], ["doc", "th", "seg", "lo", "a", "b", "inside", "around"])
+
+    return run
+
+
+def window_rows(length: int):
+    """Name, segment and start of every window of the runs asked for (doc, th, key, seg, lo, body, runs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, th, key, seg, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bodies, off = flat(batch.column(5))
+            for i, j in slices(off):
+                names = Names(bodies[off[i] : off[j]])
+                asked = batch.column(6).slice(i, j - i)
+                runs = asked.flatten()
+                a, b = (runs.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
+                row = np.repeat(np.arange(i, j), np.array([len(x) for x in asked]))
+                n = b - a + 1
+                at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                row = np.repeat(row, n)
+                name = mix(names.of(at + off[row] - off[i] - lo[row], length), key[row].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], th[row], name.view(np.int64), seg[row], at)], ["doc", "th", "name", "seg", "at"])
 
     return run
 
@@ -178,7 +224,7 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row."""
     if not 2 * reach >= length > reach + 15 or length < 272:
         raise ValueError("needs 272 <= length and reach + 15 < length <= 2 * reach")
@@ -193,11 +239,23 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     kinds = mixed.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min("doc").alias("d0"))
     mixed = stage(mixed.join(kinds, ["key", "seg"]), "mixed")
     whole = mixed.where("c > 1").select("doc", "th", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    # single segments, and one text of those that repeat, window by window
-    ask = mixed.where("c = 1 or doc = d0").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi", "key", "seg")).alias("spans"))
-    windows = stage(rows.join(ask, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(window_rows(length), "doc long, th long, name long, seg long, at long"), "windows")
-    again = windows.groupBy("name").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("s0 <> s1").select("name")
-    hits = windows.join(again, "name").select("doc", "th", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    runs = plain.union(whole).union(hits).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    # single segments, and one text of those that repeat: their bytes, run by run and then window by window
+    asked = mixed.where("c = 1 or doc = d0").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi", "key", "seg", "anchor")).alias("spans"))
+    few = mixed.limit(broadcast_rows + 1).count() <= broadcast_rows
+    fragments = rows.join(F.broadcast(asked) if few else asked, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(fragment_rows(length), f"{ANCHORS}, body binary")
+    fragments = stage(fragments, "fragments")
+    runs = stage(fragments.mapInArrow(interval_rows(length), "doc long, th long, seg long, lo long, a long, b long, inside long, around long"), "runs")
+    met = lambda df, name: df.groupBy(name).agg(F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("s0 <> s1").select(name)
+    part = runs.join(met(runs, "inside"), "inside")
+    part = stage(part.join(met(part, "around").withColumn("full", F.lit(True)), "around", "left").select("doc", "th", "seg", "lo", "a", "b", "inside", "around", F.col("full").isNotNull().alias("full")), "part")
+    covered = part.where("full").select("doc", "th", "a", (F.col("b") + length).alias("b"))
+    rest = part.where("not full")  # and, to compare them with, one of each kind of repeated run that shares their bytes
+    kind = F.min(F.struct("doc", "th", "seg", "lo", "a", "b")).alias("r")
+    shown = part.where("full").join(rest.select("inside").distinct(), "inside", "left_semi").groupBy("inside", "around").agg(kind).select("r.*")
+    open_runs = rest.select("doc", "th", "seg", "lo", "a", "b").unionByName(shown).groupBy("doc", "th", "seg", "lo").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    windows = fragments.join(open_runs, ["doc", "th", "seg", "lo"]).select("doc", "th", "key", "seg", "lo", "body", "runs").mapInArrow(window_rows(length), "doc long, th long, name long, seg long, at long")
+    windows = stage(windows, "windows")
+    hits = windows.join(met(windows, "name"), "name").select("doc", "th", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    runs = plain.union(whole).union(covered).union(hits).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     joined = rows.join(runs, ["doc", "th"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(cut_rows(pa.int64(), length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
