@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 #: Formats that name their issuer.
 FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk[-_](?:live_|test_|proj-)?[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-ASSIGNED = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth)\s{0,2}[=:]\s{0,2}[\"']{0,1})[^\s\"',;<>]{6,}"
+#: A key word and what stands between it and its value; the value is what follows.
+PREFIX = r"(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth)\s{0,2}[=:]\s{0,2}[\"']?"
+ASSIGNED = PREFIX + r"[^\s\"',;<>]{6,}"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{BLOCK}|{FORMATS}|{ASSIGNED}|{RUN}"
 #: Words that people write where a secret would stand, and ordinary words inside identifiers.
@@ -154,11 +156,13 @@ def scan(docs: DataFrame, *, findings: list[dict] | None = None, threshold: floa
     rows = rows.withColumn("_between", F.when(F.size("_cands") > 0, F.split("_text", CANDIDATE)).otherwise(F.array().cast("array<string>")))
 
     def judged(c: Column, i: Column) -> Column:
-        before = F.right(F.coalesce(F.get("_between", i), F.lit("")), F.lit(context))
+        value = F.regexp_replace(c, f"^{PREFIX}", "")
+        prefix = F.left(c, F.length(c) - F.length(value))
+        before = F.right(F.concat(F.coalesce(F.get("_between", i), F.lit("")), prefix), F.lit(context))
         after = F.substring(F.coalesce(F.get("_between", i + F.lit(1)), F.lit("")), 1, context)
-        x = F.array(*features(c, before, after, path))
+        x = F.array(*features(value, before, after, path))
         votes = F.transform(F.array(x), lambda v: sum((vote(t, lambda k: F.get(v, F.lit(k))) for t in forest[1:]), vote(forest[0], lambda k: F.get(v, F.lit(k)))) / F.lit(float(len(forest))))
-        return F.transform(votes, lambda s: F.struct(c.alias("value"), s.alias("score"), (s >= threshold).alias("secret")))
+        return F.transform(votes, lambda s: F.struct(value.alias("value"), s.alias("score"), (s >= threshold).alias("secret")))
 
     return rows.withColumn("_findings", F.flatten(F.transform("_cands", judged))).drop("_text", "_cands", "_between")
 
