@@ -224,7 +224,7 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row."""
     if not 2 * reach >= length > reach + 15 or length < 272:
         raise ValueError("needs 272 <= length and reach + 15 < length <= 2 * reach")
@@ -241,8 +241,7 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256, broadcast_row
     whole = mixed.where("c > 1").select("doc", "th", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     # single segments, and one text of those that repeat: their bytes, run by run and then window by window
     asked = mixed.where("c = 1 or doc = d0").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi", "key", "seg", "anchor")).alias("spans"))
-    few = mixed.limit(broadcast_rows + 1).count() <= broadcast_rows
-    fragments = rows.join(F.broadcast(asked) if few else asked, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(fragment_rows(length), f"{ANCHORS}, body binary")
+    fragments = rows.join(asked, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(fragment_rows(length), f"{ANCHORS}, body binary")
     fragments = stage(fragments, "fragments")
     runs = stage(fragments.mapInArrow(interval_rows(length), "doc long, th long, seg long, lo long, a long, b long, inside long, around long"), "runs")
     met = lambda df, name: df.groupBy(name).agg(F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("s0 <> s1").select(name)
