@@ -18,10 +18,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = stage(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low")).select("id", F.least("id", "low").alias("comp")), "labels")
     for _ in range(rounds):
         near = both.join(labels, both["dst"] == labels["id"]).groupBy(F.col("src").alias("id")).agg(F.min("comp").alias("low"))
-        step = labels.join(near, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
-        step = stage(step, "labels")
-        jump = step.select(F.col("id").alias("_id"), F.col("comp").alias("_comp"))
-        moved = stage(step.join(jump, F.col("comp") == F.col("_id")).select("id", F.least("comp", "_comp").alias("comp"), "was"), "labels")
+        jump = labels.select(F.col("id").alias("_id"), F.col("comp").alias("_comp"))
+        step = labels.join(near, "id").select("id", F.least("comp", "low").alias("next"), F.col("comp").alias("was"))
+        moved = stage(step.join(jump, F.col("next") == F.col("_id")).select("id", F.least("next", "_comp").alias("comp"), "was"), "labels")
         labels = moved.select("id", "comp")
         if moved.where("comp <> was").limit(1).count() == 0:
             break

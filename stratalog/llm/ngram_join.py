@@ -12,9 +12,12 @@ Classes that share an index entry form candidate groups.  Inside a group nothing
 each set is stored as its difference from a consensus of a bounded sample of the group.  The distance of
 two sets is the size of the difference of their differences, so
 
-* the member nearest to the consensus is compared with every member, one row each, and
+* the member nearest to the consensus is compared with every member, one row each;
 * a member it is not linked with can only be linked with members that share an element of its difference
-  (or, for near ties, a common mark), which is an equality join on rare elements.
+  (or, for near ties, a common mark).  In rounds, the member with the least difference of each element's
+  posting is compared with the posting's members of other components, one row each, and elements whose
+  members have become one component are done;
+* what then still shares an element across components is compared in pairs.
 
 Groups of at most ``small`` classes are compared in one task.  Both ways verify exactly, on whole sets.
 
@@ -38,7 +41,7 @@ from .common import LOWER, hash64, mix, slices, stage, text_array
 from .graph import components
 
 NONE = -(1 << 63)
-INDEXED = "doc_id long, n_shingles long, key long, key2 long, signatures array<long>"
+INDEXED = "doc_id long, n_shingles long, key long, key2 long"
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -118,7 +121,9 @@ class Bands:
         return np.concatenate(out)
 
 
-def index(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
+def index(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and the 128-bit name of the set of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(1))
@@ -126,14 +131,71 @@ def index(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
             for i, j in slices(off, 1 << 20):
                 sets = [shingles(t, n) for t in texts.slice(i, j - i).to_pylist()]
                 keys = [set_key(s) for s in sets]
-                marks = [bands.signatures(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                ends = np.cumsum([0, *map(len, marks)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists], ["doc_id", "n_shingles", "key", "key2", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]))], ["doc_id", "n_shingles", "key", "key2"])
 
     return docs.mapInArrow(run, INDEXED)
 
 
+def first_of_runs(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by sig: where each run starts, and the row's start of run."""
+    start = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    at = np.flatnonzero(start)
+    return at, np.repeat(at, np.diff(np.concatenate([at, [len(sig)]])))
+
+
+def marks_of(docs: DataFrame, bands: Bands, n: int, most: int = 1 << 21) -> DataFrame:
+    """sig, key: the index entries of every class, combined in the scan.
+
+    Of the classes that a task meets together (``most`` entries) and that share an entry, the least keeps it; each other one gets an entry that only the
+    two of them have.  So a common entry is a few rows for each
+    task, not one for each document."""
+
+    def combined(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        sig = np.concatenate(list(found.values()))
+        key = np.repeat(np.fromiter(found, np.int64, len(found)), [len(v) for v in found.values()])
+        order = np.lexsort((key, sig))
+        sig, key = sig[order], key[order]
+        at, first = first_of_runs(sig, key)
+        twin = np.flatnonzero(key != key[first])
+        pair = np.unique(np.stack([key[first[twin]], key[twin]], 1), axis=0)
+        own = mix(pair[:, 0].view(np.uint64).copy(), pair[:, 1].view(np.uint64).copy()).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[at], own, own])), pa.array(np.concatenate([key[at], pair[:, 0], pair[:, 1]]))], ["sig", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            for t in text_array(batch.column(0)):
+                s = shingles(t.as_py(), n)
+                if len(s) and (k := set_key(s)[0]) not in found:
+                    found[k] = bands.signatures(s).view(np.int64)
+                    size += len(found[k])
+                if size > most:
+                    yield combined(found)
+                    found, size = {}, 0
+        if found:
+            yield combined(found)
+
+    return docs.select("text").mapInArrow(run, "sig long, key long")
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst: the first key of each entry with its other keys, from rows sorted by entry and key."""
+    last_sig = last_key = None
+    for batch in batches:
+        sig, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(sig):
+            continue
+        _, first = first_of_runs(sig, key)
+        lead = key[first]
+        if last_sig is not None and sig[0] == last_sig:
+            lead = np.where(sig == last_sig, last_key, lead)
+        last_sig, last_key = sig[-1], lead[-1]
+        edge = np.flatnonzero(key != lead)
+        pair = np.unique(np.stack([lead[edge], key[edge]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["src", "dst"])
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """doc, key, n and the set of the rows whose key is the wanted one (docs: doc, text, want, g, members)."""
 
@@ -206,7 +268,7 @@ def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in got], pa.list_(pa.int64()))], ["g", "key", "n", "diff"])
 
 
-def large_links(sets: DataFrame, num: int, den: int, sample: int, block: int) -> DataFrame:
+def large_links(sets: DataFrame, num: int, den: int, sample: int, block: int, rounds: int = 2) -> DataFrame:
     """Links that connect what is connected in large groups (see above)."""
     drawn = sets.where(F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / sample)) == 0)
     base = drawn.groupBy("g").agg(F.collect_list("elements").alias("s")).mapInArrow(consensus, "g long, base array<long>")
@@ -219,36 +281,64 @@ def large_links(sets: DataFrame, num: int, den: int, sample: int, block: int) ->
     # distance <= (a + b) * (den - num) / (den + num)
     near = lambda dist, a, b: (den + num) * dist <= (den - num) * (a + b)
     rows = stage(rows.withColumn("linked", near(F.col("d") + F.col("cd") - 2 * F.size(F.array_intersect("diff", "cdiff")), F.col("n"), F.col("cn"))).drop("cdiff"), "star")
-    star = rows.where("linked and key <> ck").select(F.col("ck").alias("src"), F.col("key").alias("dst"))
+    links = stage(rows.where("linked and key <> ck").select(F.col("ck").alias("src"), F.col("key").alias("dst")), "links")
     # a pair without a common element must be a near tie with the center: those get a common mark
-    tie = den * (F.col("d") - F.col("cd")) <= (den - num) * (F.col("d") + F.col("cd"))
-    mark = F.array(F.lit(NONE))
-    far = rows.where("not linked").select("g", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.explode(F.concat("diff", mark)).alias("e"))
-    has_far = rows.where("not linked").select("g").distinct()
-    every = rows.join(has_far, "g", "left_semi").select("g", F.col("key").alias("y"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.explode(F.when(tie, F.concat("diff", mark)).otherwise(F.col("diff"))).alias("e"))
-    pairs = far.join(every, ["g", "e"]).where("x <> y").groupBy("x", "y").agg(F.first("xn").alias("xn"), F.first("yn").alias("yn"), F.first("xd").alias("xd"), F.first("yd").alias("yd"), F.sum(F.when(F.col("e") == NONE, 0).otherwise(1)).alias("c"))
-    rest = pairs.where(near(F.col("xd") + F.col("yd") - 2 * F.col("c"), F.col("xn"), F.col("yn"))).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    return star.unionByName(rest)
+    tie = ~F.col("linked") | (den * (F.col("d") - F.col("cd")) <= (den - num) * (F.col("d") + F.col("cd")))
+    open_groups = rows.where("not linked").select("g").distinct()
+    members = stage(rows.join(open_groups, "g", "left_semi").select("g", "key", "n", "d", "diff", F.when(F.col("linked"), F.col("ck")).otherwise(F.col("key")).alias("comp"), F.when(tie, F.concat("diff", F.array(F.lit(NONE)))).otherwise(F.col("diff")).alias("elements")), "members")
+    if members.limit(1).count() == 0:
+        return links
+    listed = postings(members)  # so far, components are what is linked with a center
+    for _ in range(rounds):
+        tops = listed.groupBy("g", "e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("d", "key", "comp")).alias("top")).where("c0 <> c1").select("g", "e", "top")
+        asked = listed.join(tops, ["g", "e"]).where("comp <> top.comp").select(F.col("top.key").alias("x"), F.col("key").alias("y")).distinct()
+        found = stage(verified(asked, members, num, den), "links")
+        if found.limit(1).count() == 0:
+            break
+        links = stage(links.unionByName(found), "links")
+        now = components(links)
+        now = now.withColumnRenamed("comp", "_now")
+        members = stage(members.join(now, F.col("key") == F.col("id"), "left").withColumn("comp", F.coalesce("_now", "comp")).drop("id", "_now"), "members")
+        listed = postings(members)
+    mixed = listed.groupBy("g", "e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g", "e")
+    left = stage(listed.join(mixed, ["g", "e"]), "left")
+    sizes = lambda a, b: (den * a >= num * b) & (den * b >= num * a)
+    other = left.select("g", "e", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
+    asked = left.withColumnRenamed("key", "x").join(other, ["g", "e"]).where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("yc")) & sizes(F.col("n"), F.col("yn"))).select("x", "y").distinct()
+    return links.unionByName(verified(asked, members, num, den))
+
+
+def postings(members: DataFrame) -> DataFrame:
+    """g, e, key, n, d, comp: the members by the elements of their differences."""
+    return members.select("g", "key", "n", "d", "comp", F.explode("elements").alias("e"))
+
+
+def verified(asked: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """src, dst of the asked pairs (x, y) that are linked, by the size of the difference of their differences."""
+    a = members.select(F.col("key").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("diff").alias("xdiff"))
+    b = members.select(F.col("key").alias("y"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("diff").alias("ydiff"))
+    apart = F.col("xd") + F.col("yd") - 2 * F.size(F.array_intersect("xdiff", "ydiff"))
+    near = (den + num) * apart <= (den - num) * (F.col("xn") + F.col("yn"))
+    return asked.join(a, "x").join(b, "y").where(near).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
 def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, small: int = 48, sample: int = 24, block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows with an equal set), in any order; one row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stage(index(docs, Bands(num, den, docs.count()), n), "index")
+    rows = stage(index(docs, n), "index")
     classes = stage(rows.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
-    marks = rows.select("key", F.explode("signatures").alias("sig"))
-    shared = marks.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("sig", "low")
-    stars = marks.join(shared, "sig").where("key <> low").select(F.col("low").alias("src"), F.col("key").alias("dst")).distinct()
-    groups = components(stars).withColumnRenamed("comp", "g")
+    marks = marks_of(docs, Bands(num, den, rows.count()), n)
+    near = marks.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "src long, dst long").distinct()
+    groups = components(near).withColumnRenamed("comp", "g")
     sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("members")), "g")
     held = F.coalesce(F.col("rep"), F.lit(NONE))
     want = stage(sized.join(classes, F.col("id") == F.col("key")).select(held.alias("doc"), F.col("key").alias("want"), "g", "members"), "members")
     few = want.limit(broadcast_rows + 1).count() <= broadcast_rows
     found = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "text").join(F.broadcast(want) if few else want, "doc")
-    sets = stage(sets_of(found, n).dropDuplicates(["g", "key"]), "sets")
+    sets = stage(sets_of(found, n), "sets")
     whole = sets.where(F.col("members") <= small).groupBy("g").agg(F.collect_list(F.struct("key", "elements")).alias("rows"))
     links = whole.select("rows").mapInArrow(small_links(num, den), "src long, dst long")
-    links = stage(links.unionByName(large_links(sets.where(F.col("members") > small), num, den, sample, block)), "links")
+    links = stage(links.unionByName(large_links(sets.where(F.col("members") > small).dropDuplicates(["g", "key"]), num, den, sample, block)), "links")
     parts = components(links)
     named = parts.join(classes, F.col("id") == F.col("key")).groupBy("comp").agg(F.min("rep").alias("component_id"))
     names = parts.join(named, "comp").select(F.col("id").alias("key"), "component_id")
