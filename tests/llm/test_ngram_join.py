@@ -59,3 +59,11 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 101)], "src long, dst long")
     got = {r.id: r.comp for r in graph.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == 100
+
+
+def test_components_of_a_randomly_numbered_path(spark):
+    """Far more hops than the rounds of a label that walks hop by hop may have."""
+    ids = random.Random(4).sample(range(10**9), 2000)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")
+    got = graph.components(edges).collect()
+    assert len(got) == 2000 and {r.comp for r in got} == {min(ids)}
