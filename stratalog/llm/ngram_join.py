@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, hash64, mix, slices, stage, text_array
 from .graph import components
@@ -322,8 +323,8 @@ def verified(asked: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
     return asked.join(a, "x").join(b, "y").where(near).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
-def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, small: int = 48, sample: int = 24, block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (rows with an equal set), in any order; one row a document."""
+def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, small: int = 48, sample: int = 24, block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
+    """The columns of join, and key, key2 and comp: the names of a row's set and of its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(index(docs, n), "index")
     classes = stage(rows.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
@@ -341,18 +342,59 @@ def join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, small: i
     links = stage(links.unionByName(large_links(sets.where(F.col("members") > small).dropDuplicates(["g", "key"]), num, den, sample, block)), "links")
     parts = components(links)
     named = parts.join(classes, F.col("id") == F.col("key")).groupBy("comp").agg(F.min("rep").alias("component_id"))
-    names = parts.join(named, "comp").select(F.col("id").alias("key"), "component_id")
-    classes = classes.join(names, "key", "left").select("key", "key2", F.coalesce("component_id", "rep").alias("component_id"), "n_copies")
+    names = parts.join(named, "comp").select(F.col("id").alias("key"), "component_id", "comp")
+    classes = classes.join(names, "key", "left").select("key", "key2", F.coalesce("component_id", "rep").alias("component_id"), "n_copies", "comp")
     out = rows.select("doc_id", "n_shingles", "key", "key2").join(stage(classes, "classes"), ["key", "key2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-
-
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: the one with the least doc_id (rows without words all stay)."""
-    found = join(docs, **options).where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
-    again = rows.groupBy("doc_id").count().where("count > 1")
-    if again.limit(1).count() == 0:
-        return rows
-    words = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) > 0  # repeated ids: one row of each id with words
-    return rows.where(words).dropDuplicates(["doc_id"]).unionByName(rows.where(~words))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "key", "key2", F.coalesce("comp", "key").alias("comp"))
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies (rows with an equal set), in any order; one row a document."""
+    return joined(docs, **options).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def with_keys(docs: DataFrame, n: int) -> DataFrame:
+    """docs with _n, _key and _key2: size and names of every row's set."""
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_array(batch.column(at))
+            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            for i, j in slices(off, 1 << 20):
+                sets = [shingles(t, n) for t in texts.slice(i, j - i).to_pylist()]
+                keys = [(len(x), *set_key(x)) for x in sets]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([k[c] for k in keys], pa.int64()) for c in range(3))], [*columns, "_n", "_key", "_key2"])
+
+    kinds = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_n", "_key", "_key2"))])
+    return docs.mapInArrow(run, kinds)
+
+
+def first_of_each(docs: DataFrame, *, n: int = 5, **options) -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id, and of rows with that id the one with
+    the least set key (rows without words all stay).
+
+    An id that only one row has names the row; rows whose id is null or repeated are told apart by their sets."""
+    found = stage(joined(docs, n=n, **options).select("doc_id", "n_shingles", "key", "key2", "comp"), "found")
+    first = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "key2")).alias("r"))
+    first = stage(first.select(F.col("r.doc_id").alias("_doc"), F.col("r.key").alias("_key"), F.col("r.key2").alias("_key2")), "first")
+    kept = first.select("_doc").union(found.where("n_shingles = 0").select("doc_id")).where("_doc is not null").distinct()
+    again = stage(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).count().where("count > 1").select("_doc"), "again")
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    named = rows.join(kept, F.col("_id") == F.col("_doc"), "left_semi")
+    several = again.limit(1).count() > 0
+    if several:
+        shared = named.join(again, F.col("_id") == F.col("_doc"), "left_semi")
+        named = named.join(again, F.col("_id") == F.col("_doc"), "left_anti")
+    named = named.drop("_id")
+    if found.where("doc_id is null").limit(1).count() == 0 and not several:
+        return named
+    unclear = rows.where("_id is null")
+    unclear = with_keys(unclear.unionByName(shared) if several else unclear, n)
+    # rows with an equal id and set are in one component: one of them stays
+    held = first.select(F.coalesce("_doc", F.lit(NONE)).alias("_doc"), F.col("_doc").isNull().alias("_null"), F.col("_key").alias("_k"), F.col("_key2").alias("_k2"))
+    same = (F.coalesce("_id", F.lit(NONE)) == F.col("_doc")) & (F.col("_id").isNull() == F.col("_null")) & (F.col("_key") == F.col("_k")) & (F.col("_key2") == F.col("_k2"))
+    told = unclear.where("_n > 0").join(held, same, "left_semi").dropDuplicates(["_id", "_key", "_key2"])
+    return named.unionByName(told.unionByName(unclear.where("_n = 0")).select(*docs.columns))

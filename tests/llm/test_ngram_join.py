@@ -67,3 +67,12 @@ def test_components_of_a_randomly_numbered_path(spark):
     edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")
     got = graph.components(edges).collect()
     assert len(got) == 2000 and {r.comp for r in got} == {min(ids)}
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Rows with one id, or none, but different texts are different documents."""
+    a, b, c, d = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    texts = [(None, a), (None, b), (None, b), (None, ""), (7, c), (7, d), (7, c), (7, None), (9, d), (8, a), (6, "y z")]
+    rows = [(i, x, "en", "s", 1) for i, x in texts]
+    kept = ngram_join.first_of_each(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(8, a), (None, b), (None, ""), (7, c), (7, d), (7, None), (6, "y z")], key=str)
