@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 #: Formats that name their issuer.
 FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk[-_](?:live_|test_|proj-)?[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: From the BEGIN line to the next END line, whatever stands between (headers with '-', any length).
+BLOCK = r"-----BEGIN [^\n-]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [^\n-]*PRIVATE KEY(?: BLOCK)?-----"
 #: A key word and what stands between it and its value; the value is what follows.
-PREFIX = r"(?:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth)\s{0,2}[=:]\s{0,2}[\"']?"
+PREFIX = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key|access_key|auth)[\"']?\s*[=:]\s*[\"']?"
 ASSIGNED = PREFIX + r"[^\s\"',;<>]{6,}"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A run that has a digit anywhere.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{BLOCK}|{FORMATS}|{ASSIGNED}|{RUN}"
 #: Words that people write where a secret would stand, and ordinary words inside identifiers.
 WORDS = "password|passwd|secret|token|example|sample|dummy|placeholder|changeme|change|your|here|test|demo|admin|user|default|access|value|name|public|private|string|none|null|true|false|redacted|insert|enter|version|release|config|server|client|local|host|data|file|image|report|document|page|index|article|chapter|section|order|invoice|number|item|product|abcdef|abcd|1234567890|12345678|123456|1234|qwerty|letmein|welcome|foobar|the|and|for|with|tion|ing|ment|heit|keit|lich"
@@ -158,7 +160,7 @@ def scan(docs: DataFrame, *, findings: list[dict] | None = None, threshold: floa
     def judged(c: Column, i: Column) -> Column:
         value = F.regexp_replace(c, f"^{PREFIX}", "")
         prefix = F.left(c, F.length(c) - F.length(value))
-        before = F.right(F.concat(F.coalesce(F.get("_between", i), F.lit("")), prefix), F.lit(context))
+        before = F.right(F.concat(F.coalesce(F.get("_between", i), F.lit("")), F.regexp_replace(prefix, r"\s+", " ")), F.lit(context))
         after = F.substring(F.coalesce(F.get("_between", i + F.lit(1)), F.lit("")), 1, context)
         x = F.array(*features(value, before, after, path))
         votes = F.transform(F.array(x), lambda v: sum((vote(t, lambda k: F.get(v, F.lit(k))) for t in forest[1:]), vote(forest[0], lambda k: F.get(v, F.lit(k)))) / F.lit(float(len(forest))))

@@ -71,3 +71,16 @@ def test_forest_generalises(spark):
     rows = rows.withColumn("x", x)
     score = sum((s.vote(t, lambda k: F.get("x", F.lit(k))) for t in forest[1:]), s.vote(forest[0], lambda k: F.get("x", F.lit(k)))) / len(forest)
     assert rows.where((score >= 0.5).cast("int") == F.col("label")).count() >= 0.97 * len(held)
+
+
+def test_candidates_have_no_length_case_or_dash_bounds(spark):
+    rng = random.Random(8)
+    lines = lambda k: "\n".join("".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(k))
+    block = lambda head, k: f"-----BEGIN RSA PRIVATE KEY-----\n{head}{lines(k)}\n-----END RSA PRIVATE KEY-----"
+    run = "".join(rng.choices("abcdefghABCDEFGH", k=70)) + "7Qx9"
+    whole = [block("", 400), block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00FF\n\n", 12), run, "Xk9!mQ2zT", "Xk9!mQ2zT7", "Xk9!mQ2zT8", "Xk9!mQ2zT9"]
+    before = ["see ", "see ", "of ", "PASSWORD=", "Password: ", '"password": "', "password     =     "]
+    rows = [(i, f'x {b}{w}" y', "en", "src1", 0) for i, (b, w) in enumerate(zip(before, whole, strict=True))]
+    got = {r.doc_id: r._findings for r in s.scan(frame(spark, rows)).collect()}
+    assert [[f.value for f in got[i]] for i in range(len(rows))] == [[w] for w in whole]
+    assert [i for i in range(len(rows)) if not got[i][0].secret and i != 2] == []
