@@ -16,6 +16,8 @@ from ..sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Whole jobs that no SQL can state: tested against Python instead.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -362,6 +364,15 @@ def _(spark, d):
     return publication.catalog_order(rows, key="doc_id").select("doc_id", "position")
 
 
+def op104_casefold_order_whole(spark, d):
+    """All rows and whole texts by Unicode case folding, which DuckDB does not have."""
+    rows = t(spark, d, "documents").select("doc_id", F.col("text").alias("title"))
+    return publication.catalog_order(rows, key="doc_id").select("doc_id", "position")
+
+
+WHOLE["op104_casefold_order_whole"] = op104_casefold_order_whole
+
+
 def turn_tags(spark, d):
     ns = F.when(F.col("role") == "user", "artist").when(F.col("role") == "assistant", "group").otherwise("language")
     return t(spark, d, "conversations").select(F.col("conv_id").alias("publication"), F.col("turn").alias("position"), ns.alias("namespace"), F.substring("text", 1, 3).alias("value"))
@@ -731,6 +742,11 @@ def _(spark, d):
     return t(spark, d, "documents").where("lang = 'en'").select("doc_id", codec.ascii_fold(F.substring("text", 1, 16)).alias("folded"), codec.scalar_count(F.col("text")).cast("long").alias("scalars"))
 
 
+@query("codec_roles_whole", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded, length(text) AS scalars FROM documents")
+def _(spark, d):
+    return t(spark, d, "documents").select("doc_id", codec.ascii_fold(F.col("text")).alias("folded"), codec.scalar_count(F.col("text")).cast("long").alias("scalars"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Files with their decision and the owner of the content they are in."""
     lines = t(spark, d, "lineitem")

@@ -298,3 +298,16 @@ def test_stream_folds_like_batch(spark, tmp_path):
     full = spark.createDataFrame(data, "gallery long, file string, artist long")
     want = decisions.file_decisions(decisions.occurrence_counts(full), full.select("gallery", "artist").distinct())
     assert rows(decisions.file_decisions(o, a)) == rows(want)
+
+
+def test_whole_casefold_order_takes_all_rows_and_accents(spark, tmp_path):
+    from stratalog.plans import registry
+
+    texts = [("de", "Straße b"), ("de", "STRASSE a"), ("fr", "Éclair"), ("fr", "éclair"), ("es", "ñandú"), ("en", "x" * 24 + "b"), ("en", "x" * 24 + "a"), (None, "Ωmega"), ("en", "")]
+    rows = [(i, lang, text) for i, (lang, text) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.position for r in registry.WHOLE["op104_casefold_order_whole"](spark, str(tmp_path)).collect()}
+    order = sorted(rows, key=lambda r: (r[2].casefold().encode(), r[0]))
+    assert got == {r[0]: k for k, r in enumerate(order)}
+    folded = {r.doc_id: r.folded for r in registry.QUERIES["codec_roles_whole"](spark, str(tmp_path)).collect()}
+    assert folded[0] == "straße b" and folded[2] == "Éclair" and folded[5] == "x" * 24 + "b" and len(folded) == len(rows)
