@@ -1,10 +1,10 @@
-"""Benchmark decontamination by a positional inverted index that is sharded by document.
+"""Benchmark decontamination by word positions that are looked up in slices of documents.
 
-A shard (a slice of a scan task) builds postings of the test terms of its own documents: term ->
-ascending word positions.  A phrase is answered by the posting list of its rarest term in the shard,
-moved by the term's offset in the phrase and intersected with the other terms' lists, the next rarest
-first.  A phrase with a term that the shard lacks costs nothing.  No posting leaves its shard, so there
-is no shuffle and no hot term; documents of any length are one shard of their own at most.
+No postings are stored.  A slice of a scan task builds, in memory, the ascending word positions of the test
+terms in its own documents.  A phrase is answered by the positions of its rarest term in the slice: there the
+other terms are compared with the word array at their offsets (only ``slop`` > 0 searches the other terms'
+positions too).  A phrase with a term that the slice lacks costs nothing.  Nothing leaves its slice, so there is no
+shuffle and no hot term; documents of any length are one slice of their own at most.
 
 The phrases come from the benchmark in blocks of at most ``block_bytes``; each block is a broadcast of
 that proven size and every block meets every row.  ``slop`` > 0 asks for proximity instead of the exact
