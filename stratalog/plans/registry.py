@@ -543,7 +543,7 @@ def _(spark, d):
     return ingest.discovery(t(spark, d, "customer").select(F.col("c_name").alias("locator")))
 
 
-@query("op10_pending", "SELECT doc_id, doc_id AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("op010_pending", "SELECT doc_id, doc_id AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
     return ingest.pending(t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("position")), t(spark, d, "labels"), "doc_id")
 
