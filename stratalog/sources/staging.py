@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -90,3 +91,10 @@ def drop_stage(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         remove(df.sparkSession, [df._staged_at])
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go: Spark deletes them when the driver has collected what names them, which
+    a driver with little to do otherwise puts off while executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
