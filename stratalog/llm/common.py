@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import drop_stage, stage, work_dir  # noqa: F401
+from ..sources.staging import batch_bytes, drop_stage, release, stage, staged, work_dir  # noqa: F401
 
 #: Bytes of text that one numpy pass takes at a time (a longer text is a slice by itself).
 SLICE_BYTES = 1 << 18

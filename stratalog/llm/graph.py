@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, staged
 
 
+@staged
 def components(edges: DataFrame) -> DataFrame:
     """id and comp (the least id reachable) of every end of an edge (src, dst; longs without nulls).
 
@@ -27,4 +28,5 @@ def components(edges: DataFrame) -> DataFrame:
         moved = stage(step.join(jump, F.col("next") == F.col("_id")).select("id", F.least("next", "_comp").alias("comp"), "was"), "labels")
         labels = moved.select("id", "comp")
         if moved.where("comp <> was").limit(1).count() == 0:
+            labels._staged_at = moved._staged_at
             return labels

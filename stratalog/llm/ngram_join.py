@@ -5,44 +5,47 @@ within the threshold differ in at most H shingles, H following from the larger s
 bands with one H each.  In a band, shingles are hashed into segments.  If segment i may differ in t_i
 shingles (0: equal, 1: one deletion apart) and the sum of t_i + 1 exceeds H, a linked pair agrees in some
 segment, so classes are indexed by their segments, and by the one-deletion neighbourhoods of the segments
-that have t_i = 1.  How many segments of either kind a band has is the cheaper allocation between rows to
-write and chance collisions among the rows there are (tiny segments collide more).
-
-Classes that share an index entry form candidate groups.  Inside a group nothing is paired with everything:
-each set is stored as its difference from a consensus of a bounded sample of the group.  The distance of
-two sets is the size of the difference of their differences, so
-
-* the member nearest to the consensus is compared with every member, one row each;
-* a member it is not linked with can only be linked with members that share an element of its difference
-  (or, for near ties, a common mark).  In rounds, the member with the least difference of each element's
-  posting is compared with the posting's members of other components, one row each, and elements whose
-  members have become one component are done;
-* what then still shares an element across components is compared in pairs.
-
-Groups of at most ``small`` classes are compared in one task.  Both ways verify exactly, on whole sets.
+that have t_i = 1.  How many segments of either kind a band has is the cheapest allocation between rows to
+write and expected collisions.  A band has a few segments more than it needs: as long as they make up for the
+segments that a set leaves empty, the empty ones - equal in most sets - are not indexed.
+
+Classes that share an index entry form candidate groups.  Groups whose sets have at most ``whole`` shingles
+together are compared in one task.  In larger groups nothing is paired with everything: a member in the middle
+of a bounded sample is the group's center, and each set is stored as its difference from it.  The distance of two
+sets is the size of the difference of their differences, so
+
+* what is near the center is linked with it without a join;
+* a pair with a member that is far has a common part of both differences that is at least half of either (the
+  bounds are in ``prefixes``), so it shares one of the first elements of either difference.  Elements are
+  ordered from rare to frequent (own shingles before missing ones, by their counts in the sample), so only
+  these first ones are listed;
+* pairs whose parity sketches differ in more bits than linked sets may are dropped before their differences meet;
+* in rounds, the least member of each listed element is compared with the element's members of other
+  components, one row each; what still shares a listed element across components is compared in pairs.
+
+Both ways verify exactly, on whole sets.
 
 Nulls: null texts, empty texts and texts without words have no set and are linked with nothing.  A null
-doc_id is never a component id unless all of its component are null.  Repeated rows are copies.
+doc_id is never a component id unless all of its component are null.  Repeated rows are copies.  An empty table
+gives no rows.  Other columns of the input, whatever their names, are not looked at.  Texts of any length are read
+whole; a set is held by one task at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, hash64, mix, slices, stage, text_array
+from .common import LOWER, WORD, hash64, mix, release, slices, stage, staged, text_array
 from .graph import components
 
-NONE = -(1 << 63)
-INDEXED = "doc_id long, n_shingles long, key long, key2 long"
+INDEXED = "doc_id long, th long, n_shingles long, key long, key2 long"
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -77,22 +80,30 @@ class Bands:
             self.plan.append(self.allocate(low, high))
             low = high + 1
 
-    def allocate(self, low: int, high: int) -> tuple[int, int]:
-        """How many segments are indexed as they are, and how many with their one-deletion neighbourhood."""
+    def allocate(self, low: int, high: int, alike: float = 0.3, partners: int = 100) -> tuple[int, int, int]:
+        """How many segments are indexed as they are, how many with their one-deletion neighbourhood, and for how
+        much emptiness they make up.
+
+        The cost of a set is its entries and its collisions, counted for at most ``partners`` other sets that share
+        the part ``alike`` of its shingles (a passage) without being linked."""
         most = 2 * high * (self.den - self.num) // (self.den + self.num)
         if most == 0:
-            return 0, 0  # linked sets are equal ones
+            return 0, 0, 0  # linked sets are equal ones
         best = None
         for deletions in sorted({0, (most + 1) // 8, (most + 1) // 4, (most + 1) // 2, (most + 2) // 2}):
             equal = max(0, most + 1 - 2 * deletions)
-            m = equal + deletions
-            if not m:
-                continue
-            s = low / m
-            chance = self.rows * math.exp(-2 * s) * (equal + deletions * (1 + s) ** 2)
-            cost = equal + deletions * (1 + s) + chance
+            while True:
+                m, room = equal + deletions, equal + 2 * deletions - most - 1
+                s = low / m
+                empty = math.exp(-s)
+                lost = equal * empty + deletions * (2 + s) * empty
+                if room >= lost + 3 * math.sqrt(2 * lost) or m >= low:
+                    break
+                equal += max(1, most // 64)
+            own = math.exp(-2 * s * (1 - alike)) * (1 - math.exp(-s * alike)) * min(self.rows, partners)
+            cost = equal * (1 - empty + own) + deletions * (1 + s + own * (1 + s * (1 - alike)) ** 2)
             if best is None or cost < best[0]:
-                best = (cost, equal, deletions)
+                best = (cost, equal, deletions, room)
         return best[1:]
 
     def of(self, size: int) -> int:
@@ -106,7 +117,7 @@ class Bands:
         return np.concatenate(out)
 
     def in_band(self, s: np.ndarray, band: int) -> np.ndarray:
-        equal, deletions = self.plan[band]
+        equal, deletions, room = self.plan[band]
         m = equal + deletions
         if not m:
             return np.zeros(0, np.uint64)
@@ -114,16 +125,21 @@ class Bands:
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, seg, s)
         place = np.arange(m, dtype=np.uint64) + np.uint64(band << 32)
-        out = [mix(sums, place)]
+        count = np.bincount(seg, minlength=m)
+        # what a pair can lose if neither indexes emptiness: all of a segment that both leave empty, and of a segment
+        # with deletions one more where one of them is empty and the other has a single shingle
+        lost = np.count_nonzero(count == 0) + np.count_nonzero(count[:deletions] <= 1)
+        filled = lost <= room
+        out = [mix(sums, place)[count > 0] if filled else mix(sums, place)]
         if deletions:
-            near = s[seg < deletions]
-            where = seg[seg < deletions]
+            take = (seg < deletions) & (count[seg] > 1) if filled else seg < deletions
+            near, where = s[take], seg[take]
             out.append(mix(sums[where] - near, place[where]))
         return np.concatenate(out)
 
 
 def index(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the 128-bit name of the set of every row."""
+    """doc_id, the text's hash, n_shingles and the 128-bit name of the set of every row (docs: doc_id, text, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +148,7 @@ def index(docs: DataFrame, n: int) -> DataFrame:
             for i, j in slices(off, 1 << 20):
                 sets = [shingles(t, n) for t in texts.slice(i, j - i).to_pylist()]
                 keys = [set_key(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]))], ["doc_id", "n_shingles", "key", "key2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]))], ["doc_id", "th", "n_shingles", "key", "key2"])
 
     return docs.mapInArrow(run, INDEXED)
 
@@ -197,204 +213,338 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["src", "dst"])
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc, key, n and the set of the rows whose key is the wanted one (docs: doc, text, want, g, members)."""
+def sets_of(found: DataFrame, n: int) -> DataFrame:
+    """g, members, key, n and the set of every wanted row (found: text, want, g, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(0))
             off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            want = batch.column(1).to_pylist()
+            want = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in slices(off, 1 << 20):
                 sets = [shingles(t, n) for t in texts.slice(i, j - i).to_pylist()]
                 keep = [k for k, s in enumerate(sets) if set_key(s)[0] == want[i + k]]
                 take = pa.array([i + k for k in keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), batch.column(1).take(take), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["g", "members", "key", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(take), batch.column(3).take(take), batch.column(1).take(take), pa.array([len(sets[k]) for k in keep], pa.int64()), arrays([sets[k].view(np.int64) for k in keep])], ["g", "members", "key", "n", "elements"])
+
+    return found.select("text", "want", "g", "members").mapInArrow(run, "g long, members long, key long, n long, elements array<long>")
 
-    return docs.select("text", "want", "g", "members").mapInArrow(run, "g long, members long, key long, n long, elements array<long>")
 
+def arrays(rows: list[np.ndarray]) -> pa.ListArray:
+    off = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
-def linked(common: int, a: int, b: int, num: int, den: int) -> bool:
-    return den * common >= num * (a + b - common)
+
+def lists(col: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column, as views of its values."""
+    off, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """g and the distinct (key, n, elements) of each group, from rows (g, key, n, elements) sorted by g and key."""
+    at, rows = None, []
+    for batch in batches:
+        g, key, n = (batch.column(k).to_pylist() for k in range(3))
+        for row in zip(g, key, n, lists(batch.column(3)), strict=True):
+            if row[0] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[0], []
+            if not rows or rows[-1][0] != row[1]:
+                rows.append((row[1], row[2], row[3].copy()))
+    if rows:
+        yield at, rows
+
+
+def commons(rows: list[tuple]) -> np.ndarray:
+    """How many shingles each two of the sets have in common."""
+    elements = np.concatenate([r[2] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    names, number, count = np.unique(elements, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[number] > 1
+    out = np.zeros((len(rows), len(rows)), np.int64)
+    owner, number = owner[keep], shared[number[keep]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 1 << 14):
+        a, b = np.searchsorted(number, [lo, lo + (1 << 14)])
+        has = np.zeros((len(rows), int(number[b - 1]) - lo + 1), np.float32)
+        has[owner[a:b], number[a:b] - lo] = 1
+        out += np.rint(has @ has.T).astype(np.int64)
+    return out
 
 
 def small_links(num: int, den: int):
-    """Links of a group that is whole in its row: a spanning set of them, exactly verified."""
+    """Links of the groups that come whole: a spanning set of them, exactly verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src, dst = [], []
-            for group in batch.column(0):
-                rows = {r["key"]: np.array(r["elements"], np.int64) for r in group.as_py()}
-                keys = sorted(rows)
-                root = {k: k for k in keys}
-
-                def find(k):
-                    while root[k] != k:
-                        root[k] = root[root[k]]
-                        k = root[k]
-                    return k
-
-                for i, a in enumerate(keys):
-                    for b in keys[i + 1 :]:
-                        ra, rb = find(a), find(b)
-                        x, y = rows[a], rows[b]
-                        if ra == rb or den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                            continue
-                        if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den):
-                            root[rb] = ra
-                            src.append(a)
-                            dst.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        src, dst = [], []
+        for _, rows in grouped(batches):
+            common, size = commons(rows), np.array([len(r[2]) for r in rows])
+            a, b = np.nonzero(np.triu(den * common >= num * (size[:, None] + size[None, :] - common), 1))
+            root = list(range(len(rows)))
+
+            def find(k, root=root):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if find(i) != find(j):
+                    root[find(j)] = find(i)
+                    src.append(rows[i][0])
+                    dst.append(rows[j][0])
+            if len(src) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+                src, dst = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return run
 
 
-def consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """g, base: the elements that more than half of a group's sample have."""
-    for batch in batches:
-        out = []
-        for sample in batch.column(1).to_pylist():
-            count = Counter(e for s in sample for e in s)
-            out.append(sorted(e for e, c in count.items() if 2 * c > len(sample)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["g", "base"])
+def centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, center, base and often of each sampled group: the key and the set of the member nearest to what more than
+    half of the sample have, and the elements that several of the sample's differences from it have, rare ones first."""
+    for g, rows in grouped(batches):
+        names, count = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
+        middle = names[2 * count > len(rows)]
+        key, _, base = min(rows, key=lambda r: (len(np.setxor1d(r[2], middle, assume_unique=True)), r[0]))
+        apart = [np.setxor1d(r[2], base, assume_unique=True) for r in rows]
+        names, count = np.unique(np.concatenate(apart), return_counts=True)
+        often = names[count > 1][np.argsort(count[count > 1], kind="stable")]
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([key], pa.int64()), arrays([base]), arrays([often])], ["g", "center", "base", "often"])
 
 
-def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """g, key, n, diff of the rows of blocks (g, base, rows)."""
-    for batch in batches:
-        for g, base, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            own = np.array(base.values) if base.values is not None else np.zeros(0, np.int64)
-            got = [(g, r["key"], r["n"], np.setxor1d(own, np.array(r["elements"], np.int64), assume_unique=True)) for r in rows.as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in got], pa.list_(pa.int64()))], ["g", "key", "n", "diff"])
-
-
-def large_links(sets: DataFrame, num: int, den: int, sample: int, block: int, rounds: int = 2) -> DataFrame:
-    """Links that connect what is connected in large groups (see above)."""
-    drawn = sets.where(F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / sample)) == 0)
-    base = drawn.groupBy("g").agg(F.collect_list("elements").alias("s")).mapInArrow(consensus, "g long, base array<long>")
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("members") / block)))
-    blocks = dealt.groupBy("g", "block").agg(F.collect_list(F.struct("key", "n", "elements")).alias("rows"))
-    rows = stage(blocks.join(base, "g", "left").select("g", F.coalesce("base", F.array().cast("array<long>")).alias("base"), "rows").mapInArrow(differences, "g long, key long, n long, diff array<long>"), "differences")
-    size = F.size("diff").alias("d")
-    center = rows.groupBy("g").agg(F.min(F.struct(size, "key", "n", "diff")).alias("c"))
-    rows = rows.join(center, "g").select("g", "key", "n", "diff", size, F.col("c.key").alias("ck"), F.col("c.n").alias("cn"), F.col("c.d").alias("cd"), F.col("c.diff").alias("cdiff"))
-    # distance <= (a + b) * (den - num) / (den + num)
-    near = lambda dist, a, b: (den + num) * dist <= (den - num) * (a + b)
-    rows = stage(rows.withColumn("linked", near(F.col("d") + F.col("cd") - 2 * F.size(F.array_intersect("diff", "cdiff")), F.col("n"), F.col("cn"))).drop("cdiff"), "star")
-    links = stage(rows.where("linked and key <> ck").select(F.col("ck").alias("src"), F.col("key").alias("dst")), "links")
-    # a pair without a common element must be a near tie with the center: those get a common mark
-    tie = ~F.col("linked") | (den * (F.col("d") - F.col("cd")) <= (den - num) * (F.col("d") + F.col("cd")))
-    open_groups = rows.where("not linked").select("g").distinct()
-    members = stage(rows.join(open_groups, "g", "left_semi").select("g", "key", "n", "d", "diff", F.when(F.col("linked"), F.col("ck")).otherwise(F.col("key")).alias("comp"), F.when(tie, F.concat("diff", F.array(F.lit(NONE)))).otherwise(F.col("diff")).alias("elements")), "members")
-    if members.limit(1).count() == 0:
-        return links
-    listed = postings(members)  # so far, components are what is linked with a center
-    for _ in range(rounds):
-        tops = listed.groupBy("g", "e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("d", "key", "comp")).alias("top")).where("c0 <> c1").select("g", "e", "top")
-        asked = listed.join(tops, ["g", "e"]).where("comp <> top.comp").select(F.col("top.key").alias("x"), F.col("key").alias("y")).distinct()
-        found = stage(verified(asked, members, num, den), "links")
-        if found.limit(1).count() == 0:
-            break
-        links = stage(links.unionByName(found), "links")
-        now = components(links)
-        now = now.withColumnRenamed("comp", "_now")
-        members = stage(members.join(now, F.col("key") == F.col("id"), "left").withColumn("comp", F.coalesce("_now", "comp")).drop("id", "_now"), "members")
-        listed = postings(members)
-    mixed = listed.groupBy("g", "e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g", "e")
-    left = stage(listed.join(mixed, ["g", "e"]), "left")
-    sizes = lambda a, b: (den * a >= num * b) & (den * b >= num * a)
-    other = left.select("g", "e", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
-    asked = left.withColumnRenamed("key", "x").join(other, ["g", "e"]).where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("yc")) & sizes(F.col("n"), F.col("yn"))).select("x", "y").distinct()
-    return links.unionByName(verified(asked, members, num, den))
+def prefixes(n: int, d: int, cn: int, num: int, den: int) -> tuple[bool, int, int]:
+    """Whether a set of n shingles, d from a center of cn, is far from it; how many of the first elements of its
+    difference are listed for near partners, and how many for far ones.
+
+    With r = (den - num) / (den + num), sets of n and m shingles are linked if they differ in at most r (n + m).  Two
+    sets d and e from the center, with c common elements of their differences, differ in d + e - 2c.  If one is far,
+    e > r (m + cn), a link asks for 2c > d - r n + r cn.  A far set asks of a near one, whose e is at least |m - cn|,
+    for 2c >= d - r (n + cn), which is positive.  Sets with at least c common elements share one of the first d - c + 1
+    of either, in any one order."""
+    up, all_ = den - num, den + num
+    far = all_ * d > up * (n + cn)
+    short = d - (all_ * d + up * (cn - n)) // (2 * all_)
+    long = d - -(-(all_ * d - up * (n + cn)) // (2 * all_)) + 1 if far else 0
+    return far, min(d, max(0, long)), min(d, max(0, short))
+
+
+SKETCH = 4
+DIFFERENCES = f"g long, key long, center long, n long, d long, far boolean, long int, short int, diff array<long>, sketch struct<{', '.join(f's{k}:long' for k in range(SKETCH))}>, wide array<long>, half array<long>"
+
+
+def sketch(s: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the elements by 64 * words bits: two sets differ in at least as many elements as their sketches
+    differ in bits."""
+    at = ((s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * words)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def postings(members: DataFrame) -> DataFrame:
-    """g, e, key, n, d, comp: the members by the elements of their differences."""
-    return members.select("g", "key", "n", "d", "comp", F.explode("elements").alias("e"))
+def apart(a: str, b: str) -> Column:
+    """In how many bits the sketches in columns a and b differ."""
+    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def verified(asked: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def differences(num: int, den: int):
+    """DIFFERENCES of rows (g, key, n, elements, center, base, often): elements from rare to frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, diffs, marks, wide = [], [], [], []
+            keys, cs = batch.column(1).to_pylist(), batch.column(4).to_pylist()
+            for g, key, c, own, base, often in zip(batch.column(0).to_pylist(), keys, cs, *(lists(batch.column(k)) for k in (3, 5, 6)), strict=True):
+                more, missing = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
+                diff = np.concatenate([more, missing])
+                order = np.argsort(often, kind="stable")
+                rank = np.zeros(len(diff), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, diff, sorter=order), len(often) - 1)
+                    rank = np.where(often[order[at]] == diff, order[at] + 1, 0)
+                diff = diff[np.lexsort((diff, np.arange(len(diff)) >= len(more), rank))]
+                diffs.append(diff)
+                marks.append(sketch(own, SKETCH))
+                # at least 3 bits for each element that linked sets may differ in; folded once for partners of the class below
+                wide.append(sketch(own, max(8, 1 << (6 * len(own) * (den - num) // (64 * (den + num))).bit_length())))
+                out.append((g, key, c, len(own), len(diff), *prefixes(len(own), len(diff), len(base), num, den)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32()]
+            bits = np.array(marks, np.int64).reshape(-1, SKETCH)
+            bits = pa.StructArray.from_arrays([pa.array(bits[:, k].copy()) for k in range(SKETCH)], [f"s{k}" for k in range(SKETCH)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, kinds, strict=True)), arrays(diffs), bits, arrays(wide), arrays([w[: len(w) // 2] ^ w[len(w) // 2 :] for w in wide])], ["g", "key", "center", "n", "d", "far", "long", "short", "diff", "sketch", "wide", "half"])
+
+    return run
+
+
+def large_links(found: DataFrame, n: int, num: int, den: int, sample: int, rounds: int = 2) -> DataFrame:
+    """Links that connect what is connected in large groups (found: text, want, g, members)."""
+    drawn = sets_of(found.where(F.pmod(F.xxhash64("want"), F.ceil(F.col("members") / sample)) == 0), n)
+    middle = drawn.select("g", "key", "n", "elements").repartition("g").sortWithinPartitions("g", "key")
+    middle = stage(middle.mapInArrow(centers, "g long, center long, base array<long>, often array<long>"), "centers")
+    sets, none = sets_of(found, n), F.array().cast("array<long>")  # a group that the sample misses has an empty center
+    met = sets.join(middle, "g", "left").select("g", "key", "n", "elements", "center", F.coalesce("base", none).alias("base"), F.coalesce("often", none).alias("often"))
+    rows = stage(met.mapInArrow(differences(num, den), DIFFERENCES), "differences")
+    release(rows.sparkSession)
+    links = stage(rows.where("not far and key <> center").select(F.col("center").alias("src"), F.col("key").alias("dst")), "links")
+    open_groups = stage(rows.where("far").select("g").distinct(), "open")
+    if open_groups.limit(1).count() == 0:
+        return links
+    opened = rows.join(bounded(open_groups, 100_000), "g", "left_semi")
+    # name of (g, element), key, far, brief: listed elements that a far member and another one have
+    first = F.slice("diff", 1, F.greatest("long", "short", F.lit(0)))
+    listed = opened.where("long > 0 or short > 0").select("g", "key", "far", "short", F.posexplode(first).alias("at", "e"))
+    listed = listed.select(F.xxhash64("g", "e").alias("e"), "key", "far", (F.col("at") < F.col("short")).alias("brief"))
+    listed = listed.repartition("e").sortWithinPartitions("e", F.desc("far"), "key").mapInArrow(met_elements, "e long, key long, far boolean, brief boolean")
+    listed = stage(listed, "listed")
+    release(rows.sparkSession)
+    comp = F.when(F.col("far"), F.col("key")).otherwise(F.col("center")).alias("comp")
+    of = stage(opened.select("key", "g", "n", "d", "sketch", "wide", "half", comp), "of")
+    x, y = (of.select(F.col("key").alias(c), *(F.col(k).alias(c + k) for k in ("g", "n", "wide", "half"))) for c in "xy")
+    x, y = bounded(x, 100_000), bounded(y, 100_000)
+    count = lambda p, q: F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda v, w: v + w)
+    long, other = F.size("xwide"), F.size("ywide")
+    bits = F.when(long == other, count("xwide", "ywide")).when(long == 2 * other, count("xhalf", "ywide")).when(2 * long == other, count("xwide", "yhalf")).otherwise(0)
+    alike = (F.col("xg") == F.col("yg")) & (den * F.col("xn") >= num * F.col("yn")) & (den * F.col("yn") >= num * F.col("xn")) & ((den + num) * bits <= (den - num) * (F.col("xn") + F.col("yn")))
+
+    def checked(asked: DataFrame) -> DataFrame:
+        """src, dst of the asked pairs (x, y) that are linked."""
+        asked = stage(asked.distinct().join(x, "x").join(y, "y").where(alike).select("x", "y"), "asked")
+        out = stage(verified(asked, rows, num, den), "links")
+        release(rows.sparkSession)
+        return out
+
+    comps = of.select("key", "comp")
+    for _ in range(rounds):
+        now = listed.join(bounded(of.select("key", "d").join(comps, "key"), 100_000), "key")
+        tops = now.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("d", "key", "comp")).alias("top")).where("c0 <> c1").select("e", "top")
+        more = checked(now.join(tops, "e").where("comp <> top.comp").select(F.col("top.key").alias("x"), F.col("key").alias("y")))
+        if more.limit(1).count() == 0:
+            break
+        links = stage(links.unionByName(more), "links")
+        now = components(links).withColumnRenamed("comp", "now")
+        comps = stage(comps.join(now, F.col("key") == F.col("id"), "left").select("key", F.coalesce("now", "comp").alias("comp")), "comps")
+    now = listed.join(bounded(of.select("key", "n", "sketch").join(comps, "key"), 100_000), "key")
+    left = stage(now.join(now.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("e"), "e"), "left")
+    a = left.where("far").select("e", F.col("key").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("brief").alias("xb"), F.col("sketch").alias("xs"))
+    b = left.where("brief").select("e", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"), F.col("far").alias("yf"), F.col("sketch").alias("ys"))
+    met = (a["e"] == b["e"]) & (F.col("xc") != F.col("yc")) & (~F.col("yf") | F.col("xb") & (F.col("x") < F.col("y")))
+    near = (den + num) * apart("xs", "ys") <= (den - num) * (F.col("xn") + F.col("yn"))
+    return links.unionByName(checked(a.join(b, met & near).select("x", "y")))
+
+
+def met_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by e, far ones first: those of the elements that have several rows and a far one."""
+    names = ["e", "key", "far", "brief"]
+    held, last, passing = None, None, False  # a single row that waits; the last element, and whether its rows pass
+    for batch in batches:
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, names)])
+        if held is not None:
+            table, held = pa.concat_tables([held, table]), None
+        e, far = (table.column(k).to_numpy() for k in (0, 2))
+        if not len(e):
+            continue
+        at, first = first_of_runs(e, e)
+        several = np.repeat(np.diff(np.concatenate([at, [len(e)]])) > 1, np.diff(np.concatenate([at, [len(e)]])))
+        keep = several & far[first]
+        if last is not None and e[0] == last:
+            keep[e == last] = passing
+        waits = at[-1] == len(e) - 1 and e[-1] != last
+        last_was, last = last, e[-1]
+        passing = passing if e[-1] == last_was else bool(keep[-1])
+        if waits:
+            held, last = table.slice(len(e) - 1), last_was if last_was != e[-1] else None
+            keep[-1] = False
+        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def verified(asked: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """src, dst of the asked pairs (x, y) that are linked, by the size of the difference of their differences."""
-    a = members.select(F.col("key").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"), F.col("diff").alias("xdiff"))
-    b = members.select(F.col("key").alias("y"), F.col("n").alias("yn"), F.col("d").alias("yd"), F.col("diff").alias("ydiff"))
-    apart = F.col("xd") + F.col("yd") - 2 * F.size(F.array_intersect("xdiff", "ydiff"))
-    near = (den + num) * apart <= (den - num) * (F.col("xn") + F.col("yn"))
-    return asked.join(a, "x").join(b, "y").where(near).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    asked = bounded(asked, 200_000)
+    side = lambda c: rows.select(F.col("key").alias(c), F.col("n").alias(f"{c}n"), F.col("d").alias(f"{c}d"), F.col("diff").alias(f"{c}diff")).join(asked, c)
+    away = F.col("xd") + F.col("yd") - 2 * F.size(F.array_intersect("xdiff", "ydiff"))
+    near = (den + num) * away <= (den - num) * (F.col("xn") + F.col("yn"))
+    return side("x").join(side("y"), ["x", "y"]).where(near).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, small: int = 48, sample: int = 24, block: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
-    """The columns of join, and key, key2 and comp: the names of a row's set and of its component."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, whole: int = 1 << 16, most: int = 64, sample: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
+    """The columns of join, and th, key, key2 and comp: the hash of a row's text, the names of its set and of its
+    component.  Groups of at most ``most`` sets and ``whole`` shingles are compared in one task.
+    Members of groups reach the texts by a broadcast if they are at most ``broadcast_rows`` (48 bytes each)."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     rows = stage(index(docs, n), "index")
-    classes = stage(rows.where("n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
+    classes = rows.where("n_shingles > 0").groupBy("key", "key2").agg(rep, F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
+    classes = stage(classes.select("key", "key2", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "n", "n_copies"), "classes")
     marks = marks_of(docs, Bands(num, den, rows.count()), n)
-    near = marks.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "src long, dst long").distinct()
+    near = stage(marks.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "src long, dst long").distinct(), "near")
+    release(docs.sparkSession)
     groups = components(near).withColumnRenamed("comp", "g")
-    sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("members")), "g")
-    held = F.coalesce(F.col("rep"), F.lit(NONE))
-    want = stage(sized.join(classes, F.col("id") == F.col("key")).select(held.alias("doc"), F.col("key").alias("want"), "g", "members"), "members")
-    few = want.limit(broadcast_rows + 1).count() <= broadcast_rows
-    found = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), "text").join(F.broadcast(want) if few else want, "doc")
-    sets = stage(sets_of(found, n), "sets")
-    whole = sets.where(F.col("members") <= small).groupBy("g").agg(F.collect_list(F.struct("key", "elements")).alias("rows"))
-    links = whole.select("rows").mapInArrow(small_links(num, den), "src long, dst long")
-    links = stage(links.unionByName(large_links(sets.where(F.col("members") > small).dropDuplicates(["g", "key"]), num, den, sample, block)), "links")
+    met = stage(groups.join(classes, F.col("id") == F.col("key")).select("g", "key", "n", "rep", "th"), "met")
+    sized = stage(met.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1"), "sized")
+    want = stage(met.join(sized, "g").select(F.col("rep").alias("doc_id"), "th", F.col("key").alias("want"), "g", "members", "total"), "want")
+    # a row for each text that is asked for, with or without an id
+    same = (F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))) & (F.col("d.th") == F.col("w.th"))
+    source = docs
+    if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        source = docs.dropDuplicates(["doc_id", "th"])
+    few = (F.col("members") <= most) & (F.col("total") <= whole)
+    at_hand = want.limit(broadcast_rows + 1).count() <= broadcast_rows
+    met = source.alias("d").join((F.broadcast(want) if at_hand else want).alias("w"), same).select("d.text", "w.want", "w.g", "w.members", "w.total")
+    met = met if at_hand else stage(met, "texts")  # beyond that size, texts are shuffled once
+    found = met.where  # met by a broadcast, texts stay where they are and each use reads them again
+    small = sets_of(found(few), n).select("g", "key", "n", "elements").repartition("g").sortWithinPartitions("g", "key")
+    links = stage(small.mapInArrow(small_links(num, den), "src long, dst long"), "small")
+    if sized.where(~few).limit(1).count():
+        links = stage(links.unionByName(large_links(found(~few), n, num, den, sample)), "links")
     parts = components(links)
     named = parts.join(classes, F.col("id") == F.col("key")).groupBy("comp").agg(F.min("rep").alias("component_id"))
     names = parts.join(named, "comp").select(F.col("id").alias("key"), "component_id", "comp")
     classes = classes.join(names, "key", "left").select("key", "key2", F.coalesce("component_id", "rep").alias("component_id"), "n_copies", "comp")
-    out = rows.select("doc_id", "n_shingles", "key", "key2").join(stage(classes, "classes"), ["key", "key2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "key", "key2", F.coalesce("comp", "key").alias("comp"))
+    out = rows.join(classes, ["key", "key2"], "left")
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "key", "key2", F.coalesce("comp", "key").alias("comp"))
 
 
+@staged
 def join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows with an equal set), in any order; one row a document."""
     return joined(docs, **options).select("doc_id", "n_shingles", "component_id", "n_copies")
 
 
-def with_keys(docs: DataFrame, n: int) -> DataFrame:
-    """docs with _n, _key and _key2: size and names of every row's set."""
-    columns = docs.columns
-    at = columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_array(batch.column(at))
-            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            for i, j in slices(off, 1 << 20):
-                sets = [shingles(t, n) for t in texts.slice(i, j - i).to_pylist()]
-                keys = [(len(x), *set_key(x)) for x in sets]
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([k[c] for k in keys], pa.int64()) for c in range(3))], [*columns, "_n", "_key", "_key2"])
-
-    kinds = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_n", "_key", "_key2"))])
-    return docs.mapInArrow(run, kinds)
-
-
-def first_of_each(docs: DataFrame, *, n: int = 5, **options) -> DataFrame:
-    """docs with one row of each component: the one with the least doc_id, and of rows with that id the one with
-    the least set key (rows without words all stay).
-
-    An id that only one row has names the row; rows whose id is null or repeated are told apart by their sets."""
-    found = stage(joined(docs, n=n, **options).select("doc_id", "n_shingles", "key", "key2", "comp"), "found")
-    first = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "key2")).alias("r"))
-    first = stage(first.select(F.col("r.doc_id").alias("_doc"), F.col("r.key").alias("_key"), F.col("r.key2").alias("_key2")), "first")
-    kept = first.select("_doc").union(found.where("n_shingles = 0").select("doc_id")).where("_doc is not null").distinct()
-    again = stage(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).count().where("count > 1").select("_doc"), "again")
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    named = rows.join(kept, F.col("_id") == F.col("_doc"), "left_semi")
-    several = again.limit(1).count() > 0
-    if several:
-        shared = named.join(again, F.col("_id") == F.col("_doc"), "left_semi")
-        named = named.join(again, F.col("_id") == F.col("_doc"), "left_anti")
-    named = named.drop("_id")
-    if found.where("doc_id is null").limit(1).count() == 0 and not several:
-        return named
-    unclear = rows.where("_id is null")
-    unclear = with_keys(unclear.unionByName(shared) if several else unclear, n)
-    # rows with an equal id and set are in one component: one of them stays
-    held = first.select(F.coalesce("_doc", F.lit(NONE)).alias("_doc"), F.col("_doc").isNull().alias("_null"), F.col("_key").alias("_k"), F.col("_key2").alias("_k2"))
-    same = (F.coalesce("_id", F.lit(NONE)) == F.col("_doc")) & (F.col("_id").isNull() == F.col("_null")) & (F.col("_key") == F.col("_k")) & (F.col("_key2") == F.col("_k2"))
-    told = unclear.where("_n > 0").join(held, same, "left_semi").dropDuplicates(["_id", "_key", "_key2"])
-    return named.unionByName(told.unionByName(unclear.where("_n = 0")).select(*docs.columns))
+@staged
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, th and n (rows with both) of the row that stands for each component: the one with the least doc_id (null
+    last), and of rows with that id the one with the least set key and text hash."""
+    found = stage(joined(docs, **options).where("n_shingles > 0").select("doc_id", "th", "key", "key2", "comp"), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "key2", "th")).alias("r")
+    first = found.groupBy("comp").agg(first).select(F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"))
+    count = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
+    return first.alias("a").join(count.alias("b"), same).select("a.doc_id", "a.th", "b.n")
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component (see representatives); rows without words all stay.
+
+    Rows whose id is null or repeated are told apart by their texts.  Of rows with the same id and text, any one stays.
+    Columns of any name are carried along."""
+    held = representatives(docs, **options)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("words"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.th") == F.col("h.th"))
+    spoken = rows.where("words").alias("r")
+    out = rows.where("not words").unionByName(spoken.join(held.where("n = 1").alias("h"), same, "left_semi"))
+    several = held.where("n > 1")
+    if several.limit(1).count():
+        out = out.unionByName(spoken.join(several.alias("h"), same, "left_semi").dropDuplicates(["doc_id", "th"]))
+    return out.select("row.*")

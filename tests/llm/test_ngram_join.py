@@ -29,7 +29,7 @@ def test_large_groups_take_the_difference_path(spark):
             for _ in range(rng.choice([0, 1, 2, 3])):
                 w[rng.randrange(len(w))] = prose(rng, 1) + "x"
             rows.append((len(rows), " ".join(w), "en", "s", 0))
-    got = ngram_join.join(frame(spark, rows), n=3, num=90, den=100, small=3, sample=4, block=5)
+    got = ngram_join.join(frame(spark, rows), n=3, num=90, den=100, most=3, sample=4)
     assert rows_of(got) == brute_components([(r[0], r[1]) for r in rows], 3, 90, 100)
 
 
@@ -76,3 +76,35 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     rows = [(i, x, "en", "s", 1) for i, x in texts]
     kept = ngram_join.first_of_each(frame(spark, rows)).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(8, a), (None, b), (None, ""), (7, c), (7, d), (7, None), (6, "y z")], key=str)
+
+
+def test_sketches_bound_the_difference():
+    rng = random.Random(6)
+    a = ngram_join.shingles(prose(rng, 900), 1)
+    for k in (0, 1, 5, 60):
+        b = a[k:]
+        for words in (4, 8, 32):
+            x, y = ngram_join.sketch(a, words), ngram_join.sketch(b, words)
+            assert sum(int(v).bit_count() for v in (x ^ y).view("uint64")) <= k
+        assert (ngram_join.sketch(a, 16)[:8] ^ ngram_join.sketch(a, 16)[8:] == ngram_join.sketch(a, 8)).all()
+
+
+def test_pairs_far_from_the_center_meet_in_their_first_elements():
+    """Sets at random distances from a center: whoever is linked, one of them far, shares a listed element."""
+    rng = random.Random(8)
+    for num in (80, 90):
+        for _ in range(300):
+            size = rng.choice([12, 30, 60])
+            base = set(range(size))
+            edits = rng.sample(range(200, 230), 30) + rng.sample(sorted(base), size // 2)
+            sets = [base ^ set(rng.sample(edits, rng.randint(0, 10))) for _ in range(6)]
+            order = sorted(set().union(*sets) | base, key=lambda e: (e in base, e))
+            rows = []
+            for s in sets:
+                diff = sorted(s ^ base, key=order.index)
+                far, long, short = ngram_join.prefixes(len(s), len(diff), size, num, 100)
+                rows.append((s, far, set(diff[:long]), set(diff[:short])))
+            for i, (a, fa, la, sa) in enumerate(rows):
+                for b, fb, lb, sb in rows[i + 1 :]:
+                    if (fa or fb) and a != b and 100 * len(a & b) >= num * len(a | b):
+                        assert (la | sa) & sb if fa and not fb else sa & (lb | sb) if fb and not fa else sa & sb
