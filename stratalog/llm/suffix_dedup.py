@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, slices, stage
+from .common import flat, mix, release, slices, stage, staged
 
 NONE = -(1 << 63)
 #: A longer text is cut into pieces of so many window starts, each with the bytes its windows need.
@@ -74,7 +74,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, reach: int) ->
     starts = np.zeros(n, bool)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         starts[a : max(a, b - length + 1)] = True
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(24)  # a slice has fewer than 1 << 24 bytes; one width, so that equal windows agree in any slice
     low = ((names.levels[16] >> bits) << bits) | np.arange(n, dtype=np.uint64)
     size = 1
     while size < reach:  # sliding minimum by doubling; reach is a power of two
@@ -224,6 +224,7 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@staged
 def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row."""
     if not 2 * reach >= length > reach + 15 or length < 272:
@@ -233,6 +234,7 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     anchors = rows.select("doc", "th", "text").mapInArrow(anchor_rows(length, reach), ANCHORS)
     buckets = anchors.groupBy("key").agg(F.count("*").alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1")
     shared = stage(anchors.join(buckets.select("key", (F.col("s0") != F.col("s1")).alias("mixed")), "key"), "shared")
+    release(docs.sparkSession)
     # one kind of segment in the bucket: all windows repeat
     plain = shared.where("not mixed").select("doc", "th", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     mixed = shared.where("mixed")
@@ -243,6 +245,7 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     asked = mixed.where("c = 1 or doc = d0").groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi", "key", "seg", "anchor")).alias("spans"))
     fragments = rows.join(asked, ["doc", "th"]).select("doc", "th", "text", "spans").mapInArrow(fragment_rows(length), f"{ANCHORS}, body binary")
     fragments = stage(fragments, "fragments")
+    release(docs.sparkSession)
     runs = stage(fragments.mapInArrow(interval_rows(length), "doc long, th long, seg long, lo long, a long, b long, inside long, around long"), "runs")
     met = lambda df, name: df.groupBy(name).agg(F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("s0 <> s1").select(name)
     part = runs.join(met(runs, "inside"), "inside")
@@ -254,6 +257,7 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     open_runs = rest.select("doc", "th", "seg", "lo", "a", "b").unionByName(shown).groupBy("doc", "th", "seg", "lo").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     windows = fragments.join(open_runs, ["doc", "th", "seg", "lo"]).select("doc", "th", "key", "seg", "lo", "body", "runs").mapInArrow(window_rows(length), "doc long, th long, name long, seg long, at long")
     windows = stage(windows, "windows")
+    release(docs.sparkSession)
     hits = windows.join(met(windows, "name"), "name").select("doc", "th", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     runs = plain.union(whole).union(covered).union(hits).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     joined = rows.join(runs, ["doc", "th"], "left").select("doc_id", "text", "runs")
