@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, stage
+from .common import SPACE, WORD, stage, staged
 
 D = 5
 FLOORS = (0.06, 0.06, 0.12, 0.10, 0.07)
@@ -105,13 +105,17 @@ PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 FACTOR = [f"l{i}{j}" for i in range(D) for j in range(i + 1)]
 
 
-def strata(rows: DataFrame, least: int) -> DataFrame:
-    """rows with the columns g (its stratum): (lang, source), or (lang), or all."""
+def levels(rows: DataFrame, least: int) -> DataFrame:
+    """_lang, _source and level of every pair: 0 if it has ``least`` rows, 1 if its lang has, else 2."""
     marked = F.when(F.col("n") >= least, F.lit(0)).when(F.col("n_lang") >= least, F.lit(1)).otherwise(F.lit(2))
     counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     langs = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     level = counts.join(langs.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l"))).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), marked.alias("level"))
-    level = small(stage(level, "strata"))
+    return small(stage(level, "strata"))
+
+
+def strata(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """rows with the column g (its stratum): (lang, source), or (lang), or all."""
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     g = F.when(F.col("level") == 0, F.to_json(F.array(text(F.col("lang")), text(F.col("source"))))).when(F.col("level") == 1, F.to_json(F.array(text(F.col("lang"))))).otherwise("all")
     return rows.join(level, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("g", g).drop("_lang", "_source", "level")
@@ -187,18 +191,30 @@ def estimates(rows: DataFrame, core: float, steps: int) -> DataFrame:
     return stage(moments(near, F.lit(True), CONSISTENCY_975), "estimate")
 
 
-def passing(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    whole = docs.withColumn("_row", F.struct(*(docs[c] for c in docs.columns)))
-    return judge(whole, keep=("_row",), **options).where("kept").select("_row.*")
+def passing(docs: DataFrame, *, broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """The rows of docs that are kept, with their columns, whatever their names.
+
+    Texts are not staged: what is rejected is known by id, hash of the text, language and source, and is taken from the
+    rows by a broadcast of at most ``broadcast_rows``, or by a shuffled join beyond."""
+    keys = ["doc_id", "th", "lang", "source"]
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
+    rejected = rejections(docs.select("doc_id", "text", "lang", "source", key[1]), **options)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return rows.alias("a").join(small(rejected, broadcast_rows).alias("b"), same, "left_anti").select("row.*")
+
+
+@staged
+def rejections(docs: DataFrame, **options) -> DataFrame:
+    return judge(docs, keep=("th",), **options).where("not kept").select("doc_id", "th", "lang", "source").distinct()
 
 
 def judge(docs: DataFrame, *, keep: tuple[str, ...] = (), least: int = 200, core: float = 0.75, steps: int = 3, cutoff: float = 30.0) -> DataFrame:
     """Base counts of every row with base_failed, d2 (null where base_failed), kept and the columns of ``keep``
     (whose names must differ from the counts')."""
     rows = stage(base_counts(docs, *keep).withColumn("base_failed", base_failed()), "counts")
-    vectors = rows.select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector())))
-    passed = strata(vectors.where(~F.col("base_failed")), least)
+    vectors = rows.select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector()))).where(~F.col("base_failed"))
+    passed = strata(vectors, levels(vectors, least))
     found = distances(passed, estimates(stage(passed.select("g", *X), "vectors"), core, steps))
     kept = found.withColumn("kept", F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
     names = [*rows.columns, "d2", "kept"]
