@@ -351,44 +351,57 @@ def apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def differences(num: int, den: int):
-    """DIFFERENCES of rows (g, key, n, elements, center, base, often): elements from rare to frequent."""
+def differences(n: int, num: int, den: int):
+    """DIFFERENCES of the wanted rows (text, want, g, center, base, often): elements from rare to frequent.
+
+    Sets are made where they are compared with their center, so neither they nor a second Python worker are between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, diffs, marks, wide = [], [], [], []
-            keys, cs = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-            for g, key, c, own, base, often in zip(batch.column(0).to_pylist(), keys, cs, *(lists(batch.column(k)) for k in (3, 5, 6)), strict=True):
-                more, missing = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
-                diff = np.concatenate([more, missing])
-                order = np.argsort(often, kind="stable")
-                rank = np.zeros(len(diff), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, diff, sorter=order), len(often) - 1)
-                    rank = np.where(often[order[at]] == diff, order[at] + 1, 0)
-                diff = diff[np.lexsort((diff, np.arange(len(diff)) >= len(more), rank))]
-                diffs.append(diff)
-                marks.append(sketch(own, SKETCH))
-                # at least 3 bits for each element that linked sets may differ in; folded once for partners of the class below
-                wide.append(sketch(own, max(8, 1 << (6 * len(own) * (den - num) // (64 * (den + num))).bit_length())))
-                out.append((g, key, c, len(own), len(diff), *prefixes(len(own), len(diff), len(base), num, den)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32()]
-            bits = np.array(marks, np.int64).reshape(-1, SKETCH)
-            bits = pa.StructArray.from_arrays([pa.array(bits[:, k].copy()) for k in range(SKETCH)], [f"s{k}" for k in range(SKETCH)])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, kinds, strict=True)), arrays(diffs), bits, arrays(wide), arrays([w[: len(w) // 2] ^ w[len(w) // 2 :] for w in wide])], ["g", "key", "center", "n", "d", "far", "long", "short", "diff", "sketch", "wide", "half"])
+            texts = text_array(batch.column(0))
+            off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            for i, j in slices(off, 1 << 20):
+                yield differing(batch.slice(i, j - i), n, num, den)
 
     return run
 
 
+def differing(batch: pa.RecordBatch, n: int, num: int, den: int) -> pa.RecordBatch:
+    out, diffs, marks, wide = [], [], [], []
+    wanted, gs, cs = (batch.column(k).to_pylist() for k in (1, 2, 3))
+    for text, key, g, c, base, often in zip(text_array(batch.column(0)), wanted, gs, cs, *(lists(batch.column(k)) for k in (4, 5)), strict=True):
+        own = shingles(text.as_py(), n)
+        if set_key(own)[0] != key:
+            continue
+        own = own.view(np.int64)
+        more, missing = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
+        diff = np.concatenate([more, missing])
+        order = np.argsort(often, kind="stable")
+        rank = np.zeros(len(diff), np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, diff, sorter=order), len(often) - 1)
+            rank = np.where(often[order[at]] == diff, order[at] + 1, 0)
+        diff = diff[np.lexsort((diff, np.arange(len(diff)) >= len(more), rank))]
+        diffs.append(diff)
+        marks.append(sketch(own, SKETCH))
+        # at least 3 bits for each element that linked sets may differ in; folded once for partners of the class below
+        wide.append(sketch(own, max(8, 1 << (6 * len(own) * (den - num) // (64 * (den + num))).bit_length())))
+        out.append((g, key, c, len(own), len(diff), *prefixes(len(own), len(diff), len(base), num, den)))
+    cols = list(zip(*out, strict=True)) if out else [[]] * 8
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32()]
+    bits = np.array(marks, np.int64).reshape(-1, SKETCH)
+    bits = pa.StructArray.from_arrays([pa.array(bits[:, k].copy()) for k in range(SKETCH)], [f"s{k}" for k in range(SKETCH)])
+    return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, kinds, strict=True)), arrays(diffs), bits, arrays(wide), arrays([w[: len(w) // 2] ^ w[len(w) // 2 :] for w in wide])], ["g", "key", "center", "n", "d", "far", "long", "short", "diff", "sketch", "wide", "half"])
+
+
 def large_links(found: DataFrame, n: int, num: int, den: int, sample: int, rounds: int = 2) -> DataFrame:
     """Links that connect what is connected in large groups (found: text, want, g, members)."""
     drawn = sets_of(found.where(F.pmod(F.xxhash64("want"), F.ceil(F.col("members") / sample)) == 0), n)
     middle = drawn.select("g", "key", "n", "elements").repartition("g").sortWithinPartitions("g", "key")
     middle = stage(middle.mapInArrow(centers, "g long, center long, base array<long>, often array<long>"), "centers")
-    sets, none = sets_of(found, n), F.array().cast("array<long>")  # a group that the sample misses has an empty center
-    met = sets.join(middle, "g", "left").select("g", "key", "n", "elements", "center", F.coalesce("base", none).alias("base"), F.coalesce("often", none).alias("often"))
-    rows = stage(met.mapInArrow(differences(num, den), DIFFERENCES), "differences")
+    none = F.array().cast("array<long>")  # a group that the sample misses has an empty center
+    met = found.join(middle, "g", "left").select("text", "want", "g", "center", F.coalesce("base", none).alias("base"), F.coalesce("often", none).alias("often"))
+    rows = stage(met.mapInArrow(differences(n, num, den), DIFFERENCES), "differences")
     release(rows.sparkSession)
     links = stage(rows.where("not far and key <> center").select(F.col("center").alias("src"), F.col("key").alias("dst")), "links")
     open_groups = stage(rows.where("far").select("g").distinct(), "open")
