@@ -19,7 +19,8 @@ sets is the size of the difference of their differences, so
   bounds are in ``prefixes``), so it shares one of the first elements of either difference.  Elements are
   ordered from rare to frequent (own shingles before missing ones, by their counts in the sample), so only
   these first ones are listed;
-* pairs whose parity sketches differ in more bits than linked sets may are dropped before their differences meet;
+* pairs whose sizes are too far apart, whose parity sketches differ in more bits than linked sets may, or whose differences
+  are too short from a listed element on are dropped before their differences meet;
 * in rounds, the least member of each listed element is compared with the element's members of other
   components, one row each; what still shares a listed element across components is compared in pairs.
 
@@ -408,11 +409,11 @@ def large_links(found: DataFrame, n: int, num: int, den: int, sample: int, round
     if open_groups.limit(1).count() == 0:
         return links
     opened = rows.join(bounded(open_groups, 100_000), "g", "left_semi")
-    # name of (g, element), key, far, brief: listed elements that a far member and another one have
+    # name of (g, element), key, far, brief, at: listed elements that a far member and another one have, and their places
     first = F.slice("diff", 1, F.greatest("long", "short", F.lit(0)))
     listed = opened.where("long > 0 or short > 0").select("g", "key", "far", "short", F.posexplode(first).alias("at", "e"))
-    listed = listed.select(F.xxhash64("g", "e").alias("e"), "key", "far", (F.col("at") < F.col("short")).alias("brief"))
-    listed = listed.repartition("e").sortWithinPartitions("e", F.desc("far"), "key").mapInArrow(met_elements, "e long, key long, far boolean, brief boolean")
+    listed = listed.select(F.xxhash64("g", "e").alias("e"), "key", "far", (F.col("at") < F.col("short")).alias("brief"), "at")
+    listed = listed.repartition("e").sortWithinPartitions("e", F.desc("far"), "key").mapInArrow(met_elements, "e long, key long, far boolean, brief boolean, at int")
     listed = stage(listed, "listed")
     release(rows.sparkSession)
     comp = F.when(F.col("far"), F.col("key")).otherwise(F.col("center")).alias("comp")
@@ -441,18 +442,21 @@ def large_links(found: DataFrame, n: int, num: int, den: int, sample: int, round
         links = stage(links.unionByName(more), "links")
         now = components(links).withColumnRenamed("comp", "now")
         comps = stage(comps.join(now, F.col("key") == F.col("id"), "left").select("key", F.coalesce("now", "comp").alias("comp")), "comps")
-    now = listed.join(bounded(of.select("key", "n", "sketch").join(comps, "key"), 100_000), "key")
+    now = listed.join(bounded(of.select("key", "n", "d", "sketch").join(comps, "key"), 100_000), "key")
     left = stage(now.join(now.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("e"), "e"), "left")
-    a = left.where("far").select("e", F.col("key").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("brief").alias("xb"), F.col("sketch").alias("xs"))
-    b = left.where("brief").select("e", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"), F.col("far").alias("yf"), F.col("sketch").alias("ys"))
+    a = left.where("far").select("e", F.col("key").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("brief").alias("xb"), F.col("sketch").alias("xs"), F.col("d").alias("xd"), (F.col("d") - F.col("at")).alias("xr"))
+    b = left.where("brief").select("e", F.col("key").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"), F.col("far").alias("yf"), F.col("sketch").alias("ys"), F.col("d").alias("yd"), (F.col("d") - F.col("at")).alias("yr"))
     met = (a["e"] == b["e"]) & (F.col("xc") != F.col("yc")) & (~F.col("yf") | F.col("xb") & (F.col("x") < F.col("y")))
-    near = (den + num) * apart("xs", "ys") <= (den - num) * (F.col("xn") + F.col("yn"))
+    most = (den - num) * (F.col("xn") + F.col("yn"))
+    near = ((den + num) * apart("xs", "ys") <= most) & (den * F.col("xn") >= num * F.col("yn")) & (den * F.col("yn") >= num * F.col("xn"))
+    # a linked pair passes at its first common element: all that the differences have in common stands from there on
+    near = near & ((den + num) * (F.col("xd") + F.col("yd") - 2 * F.least("xr", "yr")) <= most)
     return links.unionByName(checked(a.join(b, met & near).select("x", "y")))
 
 
 def met_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by e, far ones first: those of the elements that have several rows and a far one."""
-    names = ["e", "key", "far", "brief"]
+    names = ["e", "key", "far", "brief", "at"]
     held, last, passing = None, None, False  # a single row that waits; the last element, and whether its rows pass
     for batch in batches:
         table = pa.Table.from_batches([pa.RecordBatch.from_arrays(batch.columns, names)])
