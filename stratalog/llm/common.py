@@ -6,7 +6,9 @@ Python worker follows the longest single text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +88,17 @@ def hash64(words: list[bytes]) -> np.ndarray:
 def crc_mod(c: str, m: int) -> Column:
     """crc32(c as text) mod m; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(m))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which hands its freed memory back at the end: Spark keeps the worker waiting for later tasks."""
+
+    @wraps(run)
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+        if trim:
+            trim(0)
+
+    return then

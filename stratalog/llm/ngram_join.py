@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, hash64, mix, release, slices, stage, staged, text_array
+from .common import LOWER, WORD, hash64, lean, mix, release, slices, stage, staged, text_array
 from .graph import components
 
 INDEXED = "doc_id long, th long, n_shingles long, key long, key2 long"
@@ -142,6 +142,7 @@ class Bands:
 def index(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, the text's hash, n_shingles and the 128-bit name of the set of every row (docs: doc_id, text, th)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(1))
@@ -179,6 +180,7 @@ def marks_of(docs: DataFrame, bands: Bands, n: int, most: int = 1 << 21) -> Data
         own = mix(pair[:, 0].view(np.uint64).copy(), pair[:, 1].view(np.uint64).copy()).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[at], own, own])), pa.array(np.concatenate([key[at], pair[:, 0], pair[:, 1]]))], ["sig", "key"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         size = 0
@@ -197,6 +199,7 @@ def marks_of(docs: DataFrame, bands: Bands, n: int, most: int = 1 << 21) -> Data
     return docs.select("text").mapInArrow(run, "sig long, key long")
 
 
+@lean
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, dst: the first key of each entry with its other keys, from rows sorted by entry and key."""
     last_sig = last_key = None
@@ -217,6 +220,7 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_of(found: DataFrame, n: int) -> DataFrame:
     """g, members, key, n and the set of every wanted row (found: text, want, g, members)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(0))
@@ -280,6 +284,7 @@ def commons(rows: list[tuple]) -> np.ndarray:
 def small_links(num: int, den: int):
     """Links of the groups that come whole: a spanning set of them, exactly verified."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, dst = [], []
         for _, rows in grouped(batches):
@@ -306,6 +311,7 @@ def small_links(num: int, den: int):
     return run
 
 
+@lean
 def centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """g, center, base and often of each sampled group: the key and the set of the member nearest to what more than
     half of the sample have, and the elements that several of the sample's differences from it have, rare ones first."""
@@ -357,6 +363,7 @@ def differences(n: int, num: int, den: int):
 
     Sets are made where they are compared with their center, so neither they nor a second Python worker are between."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(0))
@@ -454,6 +461,7 @@ def large_links(found: DataFrame, n: int, num: int, den: int, sample: int, round
     return links.unionByName(checked(a.join(b, met & near).select("x", "y")))
 
 
+@lean
 def met_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by e, far ones first: those of the elements that have several rows and a far one."""
     names = ["e", "key", "far", "brief", "at"]
