@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import changes, decisions, effects, publication, retention, serving
+from ..operators import changes, collection, decisions, effects, publication, retention, serving, views
 from ..sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,12 +655,48 @@ def _(spark, d):
 
 
 # --- retention and audits --------------------------------------------------------------------------------
-@query("op188_retention_antijoin", "SELECT p_partkey FROM part p WHERE " + " AND ".join(f"NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_linenumber = {n})" for n in range(7, 8)) + " AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = p.p_partkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p.p_partkey)")
+#: One stand-in for each of the references of a content row: name -> (table, key, condition).
+CONTENT_REFERENCES = dict(zip(collection.ROOTS["content"], [("lineitem", "l_partkey", f"l_linenumber = 7 AND l_orderkey % 6 = {n}") for n in range(6)] + [("orders", "o_orderkey", "o_orderstatus = 'P'"), ("supplier", "s_suppkey", "s_suppkey > 0"), ("customer", "c_custkey", "c_custkey % 9 = 4"), ("events", "event_id", "event_type = 'error'"), ("labels", "doc_id", "quality = 0")], strict=True))
+
+
+@query("op188_retention_antijoin", "SELECT p_partkey FROM part p WHERE " + " AND ".join(f"NOT EXISTS (SELECT 1 FROM {name} WHERE {key} = p.p_partkey AND {where})" for name, key, where in CONTENT_REFERENCES.values()))
 def _(spark, d):
-    lines = t(spark, d, "lineitem")
-    refs = [lines.where(f"l_linenumber = {n}").select("l_partkey") for n in range(7, 8)]
-    refs += [t(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), t(spark, d, "supplier").select("s_suppkey")]
-    return retention.unreferenced(t(spark, d, "part").select("p_partkey"), "p_partkey", refs)
+    refs = {kind: t(spark, d, name).where(where).select(key) for kind, (name, key, where) in CONTENT_REFERENCES.items()}
+    return collection.sweep("content", t(spark, d, "part").select("p_partkey"), "p_partkey", refs)
+
+
+@query("op181_analysis_runs", "SELECT o_orderkey AS run FROM orders o WHERE o_orderstatus IN ('F', 'P') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_linenumber = 7) AND NOT EXISTS (SELECT 1 FROM events WHERE event_id = o.o_orderkey AND event_type = 'view') AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = o.o_orderkey AND l_orderkey <> l_partkey AND l_linenumber = 1) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o.o_orderkey)")
+def _(spark, d):
+    state = F.when(F.col("o_orderstatus") == "F", "COMPLETE").when(F.col("o_orderstatus") == "P", "ABANDONED").otherwise("OPEN")
+    runs = t(spark, d, "orders").select(F.col("o_orderkey").alias("run"), state.alias("state"))
+    of = lambda name, key, where="true": t(spark, d, name).where(where).select(F.col(key).alias("run"))
+    ancestry = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("ancestor"))
+    return collection.analysis_runs(runs, of("lineitem", "l_orderkey", "l_linenumber = 7"), of("events", "event_id", "event_type = 'view'"), of("customer", "c_custkey"), ancestry, of("supplier", "s_suppkey")).select("run")
+
+
+@query("op182_publication_candidates", "SELECT o_orderkey AS candidate FROM orders o WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o.o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_orderkey = o.o_orderkey AND c.o_orderstatus <> 'F' AND (NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = c.o_custkey AND c_custkey % 3 <> 0) OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = c.o_custkey AND c_custkey % 10 = 0)))")
+def _(spark, d):
+    orders, cust = t(spark, d, "orders"), t(spark, d, "customer").select(F.col("c_custkey").alias("receipt"))
+    artifacts = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate"), F.when(F.col("l_returnflag") == "R", "PENDING").otherwise("RELEASED").alias("state"))
+    commits = orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("candidate"), F.col("o_custkey").alias("receipt"))
+    working = t(spark, d, "supplier").select(F.col("s_suppkey").alias("candidate"))
+    return collection.publication_candidates(orders.select(F.col("o_orderkey").alias("candidate")), working, artifacts, commits, cust.where("receipt % 3 <> 0"), cust.where("receipt % 10 = 0"))
+
+
+@query("op46_winner_keyset", "SELECT o.o_custkey % 5 AS run, o.o_custkey AS gid, o.o_orderkey AS winner FROM orders o WHERE o.o_orderkey % 3 = (o.o_custkey % 5) % 3 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey AND c_nationkey % 5 = o.o_custkey % 5)")
+def _(spark, d):
+    orders = t(spark, d, "orders")
+    selected = orders.select((F.col("o_custkey") % 5).alias("run"), F.col("o_orderkey").alias("winner"))
+    runs = spark.range(5).select(F.col("id").alias("run"), (F.col("id") % 3).alias("build"))
+    members = orders.select((F.col("o_orderkey") % 3).alias("build"), F.col("o_orderkey").alias("gallery"), F.col("o_custkey").alias("observation"))
+    metadata = members.select("gallery", "observation", F.col("observation").alias("gid"))
+    impacted = t(spark, d, "customer").select((F.col("c_nationkey") % 5).alias("run"), F.col("c_custkey").alias("gid"))
+    return views.winner_keyset(selected, runs, members, metadata, impacted)
+
+
+@query("v05_batch_receipts", "SELECT l_orderkey AS start_generation, l_linenumber AS start_processed_count, CAST(l_quantity AS BIGINT) % 3 AS row_count, l_orderkey + 1 AS committed_generation, l_linenumber + CAST(l_quantity AS BIGINT) % 3 AS next_processed_count, CASE WHEN CAST(l_quantity AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS terminal, CASE WHEN CAST(l_quantity AS BIGINT) % 3 = 0 THEN 'COMPLETE' ELSE 'OPEN' END AS next_state FROM lineitem")
+def _(spark, d):
+    return views.batch_receipts(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("start_generation"), F.col("l_linenumber").alias("start_processed_count"), (F.col("l_quantity").cast("long") % 3).alias("row_count")))
 
 
 @query("op180_terminal_builds", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey NOT IN (SELECT event_id FROM events) AND o_orderkey NOT IN (SELECT doc_id FROM documents)")
