@@ -29,7 +29,11 @@ def page_filtered(catalog: DataFrame, artifacts: DataFrame, offset: int, limit:
 def keyset_page(rows: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:
     """The next ``limit`` rows after a (composite) cursor."""
     if after is not None:
-        rows = rows.where(F.struct(*keys) > F.struct(*(F.lit(v).alias(k) for k, v in zip(keys, after, strict=True))))
+        # the least key bounds the scan; struct comparison would push nothing down
+        past = F.lit(False)
+        for k, v in reversed(list(zip(keys, after, strict=True))):
+            past = (F.col(k) > F.lit(v)) | (F.col(k) == F.lit(v)) & past
+        rows = rows.where(F.col(keys[0]) >= F.lit(after[0])).where(past)
     return rows.orderBy(*keys).limit(limit)
 
 
