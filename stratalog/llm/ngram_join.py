@@ -6,8 +6,8 @@ bands with one H each.  In a band, shingles are hashed into segments.  If segmen
 shingles (0: equal, 1: one deletion apart) and the sum of t_i + 1 exceeds H, a linked pair agrees in some
 segment, so classes are indexed by their segments, and by the one-deletion neighbourhoods of the segments
 that have t_i = 1.  How many segments of either kind a band has is the cheapest allocation between rows to
-write and expected collisions.  A band has a few segments more than it needs: as long as they make up for the
-segments that a set leaves empty, the empty ones - equal in most sets - are not indexed.
+write and expected collisions.  A band has a few segments more than it needs: as far as they go, a set's empty segments
+and those of its most frequent shingles - equal in many sets that share no more than a passage - are not indexed.
 
 Classes that share an index entry form candidate groups.  Groups whose sets have at most ``whole`` shingles
 together are compared in one task.  In larger groups nothing is paired with everything: a member in the middle
@@ -68,10 +68,13 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 class Bands:
-    """Size bands and the allocation of their segments, for sets linked when den * common >= num * union."""
+    """Size bands and the allocation of their segments, for sets linked when den * common >= num * union.
 
-    def __init__(self, num: int, den: int, rows: int):
+    ``levels`` orders shingles from rare to frequent (see levels_of); without it all are alike."""
+
+    def __init__(self, num: int, den: int, rows: int, levels: np.ndarray | None = None):
         self.num, self.den, self.rows = num, den, max(rows, 1)
+        self.levels = np.zeros(1, np.uint8) if levels is None else levels
         self.first, self.last, self.plan = [], [], []
         low = 1
         while low < 1 << 40:
@@ -82,17 +85,18 @@ class Bands:
             low = high + 1
 
     def allocate(self, low: int, high: int, alike: float = 0.3, partners: int = 100) -> tuple[int, int, int]:
-        """How many segments are indexed as they are, how many with their one-deletion neighbourhood, and for how
-        much emptiness they make up.
+        """How many segments are indexed as they are, how many with their one-deletion neighbourhood, and how many
+        agreements the index may leave out.
 
         The cost of a set is its entries and its collisions, counted for at most ``partners`` other sets that share
-        the part ``alike`` of its shingles (a passage) without being linked."""
+        the part ``alike`` of its shingles (a passage) without being linked.  A third more than is needed lets sets leave out
+        what they hold of passages, if these are up to about half of a set."""
         most = 2 * high * (self.den - self.num) // (self.den + self.num)
         if most == 0:
             return 0, 0, 0  # linked sets are equal ones
         best = None
         for deletions in sorted({0, (most + 1) // 8, (most + 1) // 4, (most + 1) // 2, (most + 2) // 2}):
-            equal = max(0, most + 1 - 2 * deletions)
+            equal = max(0, most + 1 - 2 * deletions) + (most + 2) // 3
             while True:
                 m, room = equal + deletions, equal + 2 * deletions - most - 1
                 s = low / m
@@ -118,27 +122,77 @@ class Bands:
         return np.concatenate(out)
 
     def in_band(self, s: np.ndarray, band: int) -> np.ndarray:
+        """The entries of a set in a band, but for those of the most frequent shingles.
+
+        An entry's level is that of its rarest shingle, and that of no shingles is above all others.  Entries from a level on
+        are left out, the lowest level with which at most ``room`` agreements can be lost.  An entry has the same level in both sets of
+        a pair, so the one with the lower bound has counted all that the two leave out."""
         equal, deletions, room = self.plan[band]
         m = equal + deletions
         if not m:
             return np.zeros(0, np.uint64)
+        level = self.levels[s & np.uint64(len(self.levels) - 1)].astype(np.int64)
         seg = ((s >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+        order = np.lexsort((level, seg))
+        s, seg, level = s[order], seg[order], level[order]
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, seg, s)
         place = np.arange(m, dtype=np.uint64) + np.uint64(band << 32)
         count = np.bincount(seg, minlength=m)
-        # what a pair can lose if neither indexes emptiness: all of a segment that both leave empty, and of a segment
-        # with deletions one more where one of them is empty and the other has a single shingle
-        lost = np.count_nonzero(count == 0) + np.count_nonzero(count[:deletions] <= 1)
-        filled = lost <= room
-        out = [mix(sums, place)[count > 0] if filled else mix(sums, place)]
+        start = np.cumsum(count) - count
+        padded = np.concatenate([level, [NOTHING, NOTHING]])
+        least = np.where(count > 0, padded[start], NOTHING)
+        second = np.where(count > 1, padded[start + 1], NOTHING)
+        # what a pair can lose: an agreement of a segment whose own entry is left out, and of a segment with deletions
+        # one more where the entry without its rarest shingle is left out
+        bound = np.sort(np.concatenate([least, second[:deletions]]))[::-1][room] + 1
+        out = [mix(sums, place)[least < bound]]
         if deletions:
-            take = (seg < deletions) & (count[seg] > 1) if filled else seg < deletions
+            rarest = np.arange(len(s)) == start[seg]
+            take = (seg < deletions) & (np.where(rarest, second[seg], least[seg]) < bound)
             near, where = s[take], seg[take]
             out.append(mix(sums[where] - near, place[where]))
         return np.concatenate(out)
 
 
+#: Above the levels of all shingles.
+NOTHING = 255
+
+
+def levels_of(docs: DataFrame, n: int, bits: int = 20) -> np.ndarray:
+    """How frequent shingles are, in half powers of two, by the last ``bits`` bits of their names (a table of 2 ** bits bytes).
+
+    Counts are over all texts, combined in the scan; equal sets that a task meets together count once.  Shingles
+    with the same bits are counted together, which blurs the order and costs no link."""
+    most = 1 << bits
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, seen, size = np.zeros(most, np.int64), [], set(), 0
+        for batch in batches:
+            for t in text_array(batch.column(0)):
+                s = shingles(t.as_py(), n)
+                if len(s) and (k := set_key(s)) not in seen:
+                    seen.add(k)
+                    held.append((s & np.uint64(most - 1)).astype(np.int64))
+                    size += len(s)
+                if size > most:
+                    total += np.bincount(np.concatenate(held), minlength=most)
+                    held, seen, size = [], set(), 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=most)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "n"])
+
+    found = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    found = found.select(F.col("at").cast("int"), F.least(F.floor(2 * F.log2("n")), F.lit(NOTHING - 1)).cast("short").alias("level")).toArrow()
+    out = np.zeros(most, np.uint8)
+    out[found.column("at").to_numpy()] = found.column("level").to_numpy()
+    return out
+
+
 def index(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, the text's hash, n_shingles and the 128-bit name of the set of every row (docs: doc_id, text, th)."""
 
@@ -511,7 +565,7 @@ def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, whole:
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
     classes = rows.where("n_shingles > 0").groupBy("key", "key2").agg(rep, F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
     classes = stage(classes.select("key", "key2", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "n", "n_copies"), "classes")
-    marks = marks_of(docs, Bands(num, den, rows.count()), n)
+    marks = marks_of(docs, Bands(num, den, rows.count(), levels_of(docs, n)), n)
     near = stage(marks.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "src long, dst long").distinct(), "near")
     release(docs.sparkSession)
     groups = components(near).withColumnRenamed("comp", "g")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from stratalog.llm import graph, ngram_join
@@ -108,3 +109,49 @@ def test_pairs_far_from_the_center_meet_in_their_first_elements():
                 for b, fb, lb, sb in rows[i + 1 :]:
                     if (fa or fb) and a != b and 100 * len(a & b) >= num * len(a | b):
                         assert (la | sa) & sb if fa and not fb else sa & (lb | sb) if fb and not fa else sa & sb
+
+
+def test_entries_left_out_lose_no_pair():
+    """Whatever the levels, each two linked sets that are not equal share an entry."""
+    rng = random.Random(12)
+    nprng = np.random.default_rng(12)
+    for num in (80, 90):
+        for levels in (None, nprng.integers(0, 4, 1 << 10).astype(np.uint8), nprng.integers(0, 200, 1 << 10).astype(np.uint8)):
+            for rows in (10, 10**12):
+                bands = ngram_join.Bands(num, 100, rows, levels)
+                for size in (1, 2, 7, 11, 19, 24, 40, 75, 160, 420, 900):
+                    pool = np.unique(nprng.integers(0, 1 << 63, 2 * size + 4, dtype=np.uint64))
+                    nprng.shuffle(pool)
+                    most = 2 * size * (100 - num) // (100 + num)
+                    for _ in range(12):
+                        gone = rng.randint(0, most)
+                        a, b = np.sort(pool[:size]), np.sort(pool[gone : size + rng.randint(0, most + 1 - gone)])
+                        common = len(np.intersect1d(a, b))
+                        if not np.array_equal(a, b) and 100 * common >= num * (len(a) + len(b) - common):
+                            assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))
+
+
+def test_a_frequent_passage_joins_no_groups():
+    nprng = np.random.default_rng(3)
+    names = np.unique(nprng.integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    nprng.shuffle(names)
+    passage = names[:60]
+    levels = np.zeros(1 << 20, np.uint8)
+    levels[passage & np.uint64((1 << 20) - 1)] = 20
+    sets = [np.sort(np.concatenate([passage, names[100 + 90 * k : 190 + 90 * k]])) for k in range(200)]
+
+    def met(bands):
+        seen = [set(bands.signatures(s).tolist()) for s in sets]
+        return sum(not seen[0].isdisjoint(x) for x in seen[1:])
+
+    assert met(ngram_join.Bands(80, 100, 200, levels)) == 0 < met(ngram_join.Bands(80, 100, 200))
+
+
+def test_levels_count_all_texts(spark):
+    rows = [(i, "a b c d e f" if i % 2 else f"x{i} y{i} z{i} u{i} v{i} w{i} q{i}", "en", "s", 0) for i in range(40)]
+    rows += [(99, None, None, None, None), (98, "", None, None, None)]
+    table = ngram_join.levels_of(frame(spark, rows).repartition(10), 5)
+    often = ngram_join.shingles("a b c d e f", 5) & np.uint64((1 << 20) - 1)
+    once = ngram_join.shingles("x2 y2 z2 u2 v2 w2 q2", 5) & np.uint64((1 << 20) - 1)
+    assert len(table) == 1 << 20 and (table[often] >= 2).all() and (table[once] == 0).all()
+    assert not ngram_join.levels_of(frame(spark, []), 5).any()
