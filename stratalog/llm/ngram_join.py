@@ -9,8 +9,8 @@ that have t_i = 1.  How many segments of either kind a band has is the cheapest
 write and expected collisions.  A band has a few segments more than it needs: as far as they go, a set's empty segments
 and those of its most frequent shingles - equal in many sets that share no more than a passage - are not indexed.
 
-Classes that share an index entry form candidate groups.  Groups whose sets have at most ``whole`` shingles
-together are compared in one task.  In larger groups nothing is paired with everything: a member in the middle
+Classes that share an index entry form candidate groups.  Groups of at most ``most`` sets are compared in one task, or, if they
+have more than ``whole`` shingles together, in one task for each part of the universe.  In larger groups nothing is paired with everything: a member in the middle
 of a bounded sample is the group's center, and each set is stored as its difference from it.  The distance of two
 sets is the size of the difference of their differences, so
 
@@ -90,7 +90,7 @@ class Bands:
 
         The cost of a set is its entries and its collisions, counted for at most ``partners`` other sets that share
         the part ``alike`` of its shingles (a passage) without being linked.  A third more than is needed lets sets leave out
-        what they hold of passages, if these are up to about half of a set."""
+        what they hold of passages, if these are up to about a third of a set."""
         most = 2 * high * (self.den - self.num) // (self.den + self.num)
         if most == 0:
             return 0, 0, 0  # linked sets are equal ones
@@ -124,9 +124,10 @@ class Bands:
     def in_band(self, s: np.ndarray, band: int) -> np.ndarray:
         """The entries of a set in a band, but for those of the most frequent shingles.
 
-        An entry's level is that of its rarest shingle, and that of no shingles is above all others.  Entries from a level on
-        are left out, the lowest level with which at most ``room`` agreements can be lost.  An entry has the same level in both sets of
-        a pair, so the one with the lower bound has counted all that the two leave out."""
+        An entry's level is that of its rarest shingle, and that of no shingles is above all others; of one level, segments
+        differ by their numbers.  Entries above a bound are left out, the lowest bound with which at most ``room`` agreements
+        can be lost.  An entry has the same level and number in both sets of a pair, so the set with the lower bound has
+        counted all that the two leave out."""
         equal, deletions, room = self.plan[band]
         m = equal + deletions
         if not m:
@@ -141,15 +142,15 @@ class Bands:
         count = np.bincount(seg, minlength=m)
         start = np.cumsum(count) - count
         padded = np.concatenate([level, [NOTHING, NOTHING]])
-        least = np.where(count > 0, padded[start], NOTHING)
-        second = np.where(count > 1, padded[start + 1], NOTHING)
+        least = np.where(count > 0, padded[start], NOTHING) * m + np.arange(m)
+        second = np.where(count > 1, padded[start + 1], NOTHING) * m + np.arange(m)
         # what a pair can lose: an agreement of a segment whose own entry is left out, and of a segment with deletions
         # one more where the entry without its rarest shingle is left out
-        bound = np.sort(np.concatenate([least, second[:deletions]]))[::-1][room] + 1
-        out = [mix(sums, place)[least < bound]]
+        bound = np.sort(np.concatenate([least, second[:deletions]]))[::-1][room]
+        out = [mix(sums, place)[least <= bound]]
         if deletions:
             rarest = np.arange(len(s)) == start[seg]
-            take = (seg < deletions) & (np.where(rarest, second[seg], least[seg]) < bound)
+            take = (seg < deletions) & (np.where(rarest, second[seg], least[seg]) <= bound)
             near, where = s[take], seg[take]
             out.append(mix(sums[where] - near, place[where]))
         return np.concatenate(out)
@@ -365,6 +366,45 @@ def small_links(num: int, den: int):
     return run
 
 
+def parts_of(found: DataFrame, n: int) -> DataFrame:
+    """part, key, n and the shingles of every wanted row in each part of the universe (found: text, want, g, parts)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted, gs, counts = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            for text, key, g, parts in zip(text_array(batch.column(0)), wanted, gs, counts, strict=True):
+                s = shingles(text.as_py(), n)
+                if set_key(s)[0] != key:
+                    continue
+                part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                at = np.searchsorted(part[order], np.arange(parts + 1))
+                held = np.flatnonzero(np.diff(at))
+                names = mix(np.full(len(held), g, np.int64).view(np.uint64), held.astype(np.uint64)).view(np.int64)
+                same = [pa.array(np.full(len(held), x, np.int64)) for x in (key, len(s))]
+                yield pa.RecordBatch.from_arrays([pa.array(names), *same, arrays([s[order[at[p] : at[p + 1]]].view(np.int64) for p in held])], ["part", "key", "n", "elements"])
+
+    return found.select("text", "want", "g", "parts").mapInArrow(run, "part long, key long, n long, elements array<long>")
+
+
+def split_links(found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links of groups of a few long sets: what each two have in common is counted in parts of the universe that come whole,
+    and added up (found: text, want, g, parts)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches):
+            common, key, size = commons(rows), np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            near = den * np.minimum(size[:, None], size) >= num * np.maximum(size[:, None], size)
+            a, b = np.nonzero(np.triu(near & (common > 0), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[a], key[b], size[a] + size[b], common[a, b])], ["src", "dst", "both", "common"])
+
+    parts = parts_of(found, n).repartition("part").sortWithinPartitions("part", "key")
+    met = parts.mapInArrow(run, "src long, dst long, both long, common long").groupBy("src", "dst", "both").agg(F.sum("common").alias("common"))
+    return met.where(den * F.col("common") >= num * (F.col("both") - F.col("common"))).select("src", "dst")
+
+
 @lean
 def centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """g, center, base and often of each sampled group: the key and the set of the member nearest to what more than
@@ -557,7 +597,7 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
 
 def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, whole: int = 1 << 16, most: int = 64, sample: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
     """The columns of join, and th, key, key2 and comp: the hash of a row's text, the names of its set and of its
-    component.  Groups of at most ``most`` sets and ``whole`` shingles are compared in one task.
+    component.  Groups of at most ``most`` sets are compared in one task, or in parts of about ``whole`` shingles.
     Members of groups reach the texts by a broadcast if they are at most ``broadcast_rows`` (48 bytes each)."""
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
@@ -577,13 +617,16 @@ def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, whole:
     source = docs
     if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         source = docs.dropDuplicates(["doc_id", "th"])
-    few = (F.col("members") <= most) & (F.col("total") <= whole)
+    few, short = F.col("members") <= most, F.col("total") <= whole
     at_hand = want.limit(broadcast_rows + 1).count() <= broadcast_rows
     met = source.alias("d").join((F.broadcast(want) if at_hand else want).alias("w"), same).select("d.text", "w.want", "w.g", "w.members", "w.total")
     met = met if at_hand else stage(met, "texts")  # beyond that size, texts are shuffled once
     found = met.where  # met by a broadcast, texts stay where they are and each use reads them again
-    small = sets_of(found(few), n).select("g", "key", "n", "elements").repartition("g").sortWithinPartitions("g", "key")
+    small = sets_of(found(few & short), n).select("g", "key", "n", "elements").repartition("g").sortWithinPartitions("g", "key")
     links = stage(small.mapInArrow(small_links(num, den), "src long, dst long"), "small")
+    if sized.where(few & ~short).limit(1).count():
+        parts = found(few & ~short).withColumn("parts", F.ceil(F.col("total") / whole).cast("long"))
+        links = stage(links.unionByName(split_links(parts, n, num, den)), "links")
     if sized.where(~few).limit(1).count():
         links = stage(links.unionByName(large_links(found(~few), n, num, den, sample)), "links")
     parts = components(links)
