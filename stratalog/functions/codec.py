@@ -5,6 +5,8 @@ big-endian integers and bytes.  Prefixes start with a namespace that is a parame
 identities can be kept by passing its namespace.
 """
 
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,6 +136,18 @@ def ascii_fold(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@cache
+def _lower_pairs() -> tuple[str, str]:
+    """Letters and their lower forms, one code point to one."""
+    pairs = [(c, c.lower()[0]) for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.lower() != c]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def simple_lower(c: Column) -> Column:
+    """Lower case code point by code point, as DuckDB's lower(): no final sigma, and a dotted capital I is i."""
+    return F.translate(c, *_lower_pairs())
+
+
 #: The upload marker, the metadata file, suffixes that get a transform.
 MARKER = "already uploaded"
 METADATA_NAME = "galleryinfo.txt"

@@ -311,3 +311,20 @@ def test_whole_casefold_order_takes_all_rows_and_accents(spark, tmp_path):
     assert got == {r[0]: k for k, r in enumerate(order)}
     folded = {r.doc_id: r.folded for r in registry.QUERIES["codec_roles_whole"](spark, str(tmp_path)).collect()}
     assert folded[0] == "straße b" and folded[2] == "Éclair" and folded[5] == "x" * 24 + "b" and len(folded) == len(rows)
+
+
+def test_codec_roles_lowers_letters_beyond_ascii_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from stratalog.functions import codec
+    from stratalog.plans import registry
+
+    texts = ["Éan de aiê La", "ÑJA TAIE", "ΑΣ ΣΑΣ. İI ẞ Ǆǅ", "𐐀𝐀 " + "É" * 20, "", None, "Straße"]
+    spark.createDataFrame([(i, "en", x) for i, x in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["codec_roles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE["codec_roles"]).fetchall())
+    letters = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))))
+    folded = spark.createDataFrame([(letters,)], "t string").select(codec.simple_lower("t")).first()[0]
+    assert folded == con.execute("SELECT lower(?)", [letters]).fetchone()[0]
