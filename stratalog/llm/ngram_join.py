@@ -35,6 +35,7 @@ whole; a set is held by one task at a time.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +122,11 @@ class Bands:
             out.append(self.in_band(s, band + 1))
         return np.concatenate(out)
 
+    def most_entries(self, size: int) -> int:
+        """No set of so many shingles has more entries."""
+        at = self.of(size)
+        return sum(min(size, sum(self.plan[b][:2])) + (size if self.plan[b][1] else 0) for b in (at, at + 1))
+
     def in_band(self, s: np.ndarray, band: int) -> np.ndarray:
         """The entries of a set in a band, but for those of the most frequent shingles.
 
@@ -217,14 +223,49 @@ def first_of_runs(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, np.repeat(at, np.diff(np.concatenate([at, [len(sig)]])))
 
 
-def marks_of(docs: DataFrame, bands: Bands, n: int, most: int = 1 << 21) -> DataFrame:
-    """sig, key: the index entries of every class, combined in the scan.
+#: Bits of an entry and of a class that are exchanged.  What two of either have in common by chance only makes a group larger.
+SIG_BITS, NAME_BITS = 56, 40
+MARKS = "<IB"  # rows, bytes of a step
+
+
+def packed_marks(sig: np.ndarray, name: np.ndarray, base: int) -> bytes:
+    """Entries sorted by sig, all at least base: steps and names, byte by byte of all rows, so that the steps' empty bytes vanish."""
+    import zstandard
+
+    step = np.diff(sig, prepend=np.uint64(base))
+    k = max(1, (int(step.max()).bit_length() + 7) // 8)
+    planes = lambda x, k: x.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
+    return struct.pack(MARKS, len(sig), k) + zstandard.ZstdCompressor(level=1).compress(planes(step, k) + planes(name, NAME_BITS // 8))
+
+
+def unpacked_marks(blob: bytes, base: int) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n, k = struct.unpack_from(MARKS, blob)
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[struct.calcsize(MARKS) :]), np.uint8)
+
+    def column(planes: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, : len(planes) // n] = planes.reshape(-1, n).T
+        return out.view(np.uint64).ravel()
+
+    return np.cumsum(column(body[: n * k]), dtype=np.uint64) + np.uint64(base), column(body[n * k :])
+
+
+def bases(parts: int) -> list[int]:
+    """The least entry of each part of all entries, and the end."""
+    return [(p << SIG_BITS) // parts for p in range(parts + 1)]
+
+
+def marks_of(docs: DataFrame, bands: Bands, n: int, parts: int, most: int = 1 << 21) -> DataFrame:
+    """part, marks: the index entries of every class and the class's name, combined in the scan and packed by part.
 
     Of the classes that a task meets together (``most`` entries) and that share an entry, the least keeps it; each other one gets an entry that only the
     two of them have.  So a common entry is a few rows for each
     task, not one for each document."""
+    cuts = bases(parts)
 
-    def combined(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+    def combined(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig = np.concatenate(list(found.values()))
         key = np.repeat(np.fromiter(found, np.int64, len(found)), [len(v) for v in found.values()])
         order = np.lexsort((key, sig))
@@ -232,8 +273,17 @@ def marks_of(docs: DataFrame, bands: Bands, n: int, most: int = 1 << 21) -> Data
         at, first = first_of_runs(sig, key)
         twin = np.flatnonzero(key != key[first])
         pair = np.unique(np.stack([key[first[twin]], key[twin]], 1), axis=0)
-        own = mix(pair[:, 0].view(np.uint64).copy(), pair[:, 1].view(np.uint64).copy()).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[at], own, own])), pa.array(np.concatenate([key[at], pair[:, 0], pair[:, 1]]))], ["sig", "key"])
+        own = mix(pair[:, 0].view(np.uint64).copy(), pair[:, 1].view(np.uint64).copy())
+        sig = np.concatenate([sig[at], own, own]) >> np.uint64(64 - SIG_BITS)
+        name = np.concatenate([key[at], pair[:, 0], pair[:, 1]]).view(np.uint64) >> np.uint64(64 - NAME_BITS)
+        order = np.argsort(sig, kind="stable")
+        sig, name = sig[order], name[order]
+        at = np.searchsorted(sig, np.array(cuts, np.uint64))
+        held = np.flatnonzero(np.diff(at))
+        for lo in range(0, len(held), 16):
+            some = held[lo : lo + 16].tolist()
+            blobs = [packed_marks(sig[at[p] : at[p + 1]], name[at[p] : at[p + 1]], cuts[p]) for p in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["part", "marks"])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,33 +293,63 @@ def marks_of(docs: DataFrame, bands: Bands, n: int, most: int = 1 << 21) -> Data
             for t in text_array(batch.column(0)):
                 s = shingles(t.as_py(), n)
                 if len(s) and (k := set_key(s)[0]) not in found:
-                    found[k] = bands.signatures(s).view(np.int64)
+                    found[k] = bands.signatures(s)
                     size += len(found[k])
                 if size > most:
-                    yield combined(found)
+                    yield from combined(found)
                     found, size = {}, 0
-        if found:
-            yield combined(found)
+        if size:
+            yield from combined(found)
+
+    return docs.select("text").mapInArrow(run, "part int, marks binary")
+
+
+def stars(parts: int):
+    """src, dst: the least name of each entry with its other names, from packed rows sorted by part."""
+    cuts = bases(parts)
+
+    def linked(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        sig, name = (np.concatenate(x) for x in zip(*(unpacked_marks(b, cuts[part]) for b in blobs), strict=True))
+        order = np.argsort(sig, kind="stable")
+        sig, name = sig[order], name[order]
+        same = sig[1:] == sig[:-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        sig, name = sig[several], name[several]
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
+        lead = name[first_of_runs(sig, name)[1]]
+        edge = np.flatnonzero(name != lead)
+        pair = np.unique(np.stack([lead[edge], name[edge]], 1).view(np.int64), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["src", "dst"])
 
-    return docs.select("text").mapInArrow(run, "sig long, key long")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != at and held:
+                    yield linked(at, held)
+                    held = []
+                at = part
+                held.append(blob.as_py())
+        if held:
+            yield linked(at, held)
 
+    return run
 
-@lean
-def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """src, dst: the first key of each entry with its other keys, from rows sorted by entry and key."""
-    last_sig = last_key = None
-    for batch in batches:
-        sig, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(sig):
-            continue
-        _, first = first_of_runs(sig, key)
-        lead = key[first]
-        if last_sig is not None and sig[0] == last_sig:
-            lead = np.where(sig == last_sig, last_key, lead)
-        last_sig, last_key = sig[-1], lead[-1]
-        edge = np.flatnonzero(key != lead)
-        pair = np.unique(np.stack([lead[edge], key[edge]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["src", "dst"])
+
+def near_of(docs: DataFrame, classes: DataFrame, bands: Bands, n: int, per_part: int = 1 << 21) -> DataFrame:
+    """src, dst: names of classes that share an index entry, as the edges of stars."""
+    spark = docs.sparkSession
+    sizes = classes.groupBy(F.floor(3 * F.log2("n"))).agg(F.max("n").alias("n"), F.count("*").alias("rows")).collect()
+    entries = sum(r.rows * bands.most_entries(r.n) for r in sizes)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // per_part))
+    marks = marks_of(docs, bands, n, parts).repartition(parts, "part").sortWithinPartitions("part")
+    return marks.mapInArrow(stars(parts), "src long, dst long").distinct()
+
+
+def near_name(key: str) -> Column:
+    return F.shiftrightunsigned(key, 64 - NAME_BITS)
 
 
 def sets_of(found: DataFrame, n: int) -> DataFrame:
@@ -605,11 +685,12 @@ def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, whole:
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
     classes = rows.where("n_shingles > 0").groupBy("key", "key2").agg(rep, F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
     classes = stage(classes.select("key", "key2", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "n", "n_copies"), "classes")
-    marks = marks_of(docs, Bands(num, den, rows.count(), levels_of(docs, n)), n)
-    near = stage(marks.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "src long, dst long").distinct(), "near")
+    bands = Bands(num, den, rows.count(), levels_of(docs, n))
+    release(docs.sparkSession)
+    near = stage(near_of(docs, classes, bands, n), "near")
     release(docs.sparkSession)
     groups = components(near).withColumnRenamed("comp", "g")
-    met = stage(groups.join(classes, F.col("id") == F.col("key")).select("g", "key", "n", "rep", "th"), "met")
+    met = stage(groups.join(classes, F.col("id") == near_name("key")).select("g", "key", "n", "rep", "th"), "met")
     sized = stage(met.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1"), "sized")
     want = stage(met.join(sized, "g").select(F.col("rep").alias("doc_id"), "th", F.col("key").alias("want"), "g", "members", "total"), "want")
     # a row for each text that is asked for, with or without an id

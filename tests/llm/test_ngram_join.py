@@ -161,3 +161,27 @@ def test_levels_count_all_texts(spark):
     once = ngram_join.shingles("x2 y2 z2 u2 v2 w2 q2", 5) & np.uint64((1 << 20) - 1)
     assert len(table) == 1 << 20 and (table[often] >= 2).all() and (table[once] == 0).all()
     assert not ngram_join.levels_of(frame(spark, []), 5).any()
+
+
+def test_packed_entries_come_back_and_take_less_than_eleven_bytes():
+    rng = np.random.default_rng(3)
+    cuts = ngram_join.bases(40)
+    sig = np.sort(np.concatenate([rng.integers(cuts[7], cuts[8], 50_000, np.uint64), np.full(3, cuts[7], np.uint64), np.full(2, cuts[8] - 1, np.uint64)]))
+    name = rng.integers(0, 1 << ngram_join.NAME_BITS, len(sig), np.uint64)
+    blob = ngram_join.packed_marks(sig, name, cuts[7])
+    for got, want in zip(ngram_join.unpacked_marks(blob, cuts[7]), (sig, name), strict=True):
+        assert (got == want).all()
+    assert len(blob) < 11 * len(sig)  # 16 bytes as rows
+    one = ngram_join.packed_marks(sig[:1], name[:1], cuts[7])
+    assert [x.tolist() for x in ngram_join.unpacked_marks(one, cuts[7])] == [sig[:1].tolist(), name[:1].tolist()]
+
+
+def test_the_exchange_of_entries_is_bounded(spark):
+    """Bytes that the entries of sets without partners take on their way."""
+    rng = random.Random(4)
+    docs = frame(spark, [(i, prose(rng, 400), "en", "s", 0) for i in range(200)])
+    bands = ngram_join.Bands(80, 100, 200)
+    entries = sum(len(bands.signatures(ngram_join.shingles(r.text, 5))) for r in docs.collect())
+    marks = ngram_join.marks_of(docs, bands, 5, 8).collect()
+    assert sum(len(r.marks) for r in marks) < 11 * entries and {r.part for r in marks} == set(range(8))
+    assert sum(len(ngram_join.unpacked_marks(r.marks, 0)[0]) for r in marks) == entries > 10_000
