@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, text_array
+from .common import LOWER, lean, slices, text_array
 
 TOKEN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
@@ -162,6 +162,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, slop: int
     held = phrase_blocks(benchmark, window, block_bytes)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, n, got in matched(batches, at, held, window, slop):
             yield batch.slice(i, n).filter(pa.array([not (g[1] > 0 and share * g[1] >= g[0]) for g in got]))
@@ -182,6 +183,7 @@ def matched(batches: Iterator[pa.RecordBatch], at: int, held: list, window: int,
 def verdicts(docs: DataFrame, benchmark: DataFrame, window: int, slop: int, share: int, block_bytes: int) -> DataFrame:
     held = phrase_blocks(benchmark, window, block_bytes)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, n, got in matched(batches, 1, held, window, slop):
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, text_array
+from .common import lean, slices, stage, text_array
 
 END_ID = 2
 PIECES = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, prefix binary"
@@ -54,12 +54,14 @@ class ChunkEncoder:
 
     The tokenizer drops white space, so chunks between white space are encoded by themselves and
     remembered; a new plain chunk is put together from remembered parts, any other goes through the
-    whole tokenizer. Either memory holds ``keep`` entries and then starts afresh."""
+    whole tokenizer. Either memory holds ``keep`` entries and the last ``keep`` before them, of which those that
+    are met again move on: texts of any size take the same memory."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 50_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known, self.parts = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.known, self.parts, self.known_before, self.parts_before = {}, {}, {}, {}
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def whole(self, text: str) -> bytes:
@@ -68,16 +70,22 @@ class ChunkEncoder:
     def part(self, text: str) -> bytes:
         got = self.parts.get(text)
         if got is None:
-            word = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
             if len(self.parts) >= self.keep:
-                self.parts.clear()
-            got = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+                self.parts, self.parts_before = {}, self.parts
+            got = self.parts_before.get(text)
+            if got is None:
+                word = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+                got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+            self.parts[text] = got
         return got
 
     def chunk(self, text: str) -> bytes:
         if len(self.known) >= self.keep:
-            self.known.clear()
-        if PLAIN.fullmatch(text) and "<|" not in text:
+            self.known, self.known_before = {}, self.known
+        got = self.known_before.get(text)
+        if got is not None:
+            pass
+        elif PLAIN.fullmatch(text) and "<|" not in text:
             got = b"".join([self.part(x) for x in PARTS.findall(text.lower())])
         else:
             got = self.whole(text)
@@ -87,8 +95,8 @@ class ChunkEncoder:
     def __call__(self, text: str) -> bytes:
         if ODD_SPACE.search(text):  # white space to Python, not to the tokenizer
             return self.whole(text)
-        get, chunk = self.known.get, self.chunk
-        return b"".join([get(c) or chunk(c) for c in text.split()])
+        chunk = self.chunk
+        return b"".join([self.known.get(c) or chunk(c) for c in text.split()])
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -117,6 +125,7 @@ def pieces_of(ids: bytes, capacity: int, grid: int) -> Iterator[tuple[int, int,
 
 
 def tokenise(path: str, capacity: int, grid: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:

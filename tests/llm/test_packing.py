@@ -73,3 +73,20 @@ def test_costs_are_balanced():
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_the_encoders_memory_is_bounded_and_keeps_what_recurs():
+    import tracemalloc
+
+    own = packing.ChunkEncoder(packing.default_tokenizer())
+    words = [f"{'abcdefghij'[k % 10]}{k}é" for k in range(300_000)]
+    tracemalloc.start()
+    for lo in range(0, len(words), 100):
+        own(" ".join(["often", *words[lo : lo + 100]]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20 << 20
+    small = packing.ChunkEncoder(packing.default_tokenizer(), keep=10)
+    for lo in range(0, 200, 5):
+        small(" ".join(["often", *words[lo : lo + 5]]))
+        assert "often" in small.known | small.known_before and len(small.known) + len(small.known_before) <= 20
