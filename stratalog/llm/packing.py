@@ -57,7 +57,7 @@ class ChunkEncoder:
     whole tokenizer. Either memory holds ``keep`` entries and the last ``keep`` before them, of which those that
     are met again move on: texts of any size take the same memory."""
 
-    def __init__(self, path: str, keep: int = 50_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep

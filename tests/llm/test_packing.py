@@ -78,7 +78,7 @@ def test_empty_table(spark):
 def test_the_encoders_memory_is_bounded_and_keeps_what_recurs():
     import tracemalloc
 
-    own = packing.ChunkEncoder(packing.default_tokenizer())
+    own = packing.ChunkEncoder(packing.default_tokenizer(), keep=50_000)
     words = [f"{'abcdefghij'[k % 10]}{k}é" for k in range(300_000)]
     tracemalloc.start()
     for lo in range(0, len(words), 100):
