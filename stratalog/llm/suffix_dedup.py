@@ -3,8 +3,8 @@
 Suffixes are put into buckets by their first 8 bytes, and a bucket is refined by the bucket identifier of a
 later offset: the identifier of the first 2L bytes at p comes from those of L bytes at p and at p + L, so
 each refinement reuses the ones before.  Identifiers are 64-bit names, equal for equal bytes wherever they
-stand, so refinement needs no exchange: after six steps every suffix of a slice has the names of its first
-8, 16, ... 256 bytes, and of any length up to twice that from two overlapping ones.
+stand, so refinement needs no exchange: every suffix of a slice has the names of its first 8 and 16 bytes, those that
+are compared are refined to 32, ... 256 bytes, and names of any length up to twice that come from two overlapping ones.
 
 Only suffixes that can share ``length`` bytes are sorted together.  A window of ``length`` bytes belongs to
 its anchor, the position of the least 16-byte name in its first ``reach`` positions: equal windows have
@@ -42,53 +42,74 @@ PIECE = 1 << 20
 ANCHORS = "doc long, th long, key long, seg long, anchor long, lo long, hi long"
 
 
+#: One factor for each doubling.  The name of twice the bytes is by * the first half's + the second half's: a sum of mixed 8-byte
+#: names whose weights are products of the factors.  Each factor less 1 is twice an odd number, so sums of weights with any signs by
+#: halves (the patterns that one common factor maps to zero) keep all but 5 of the 64 bits.
+DOUBLING = {8: np.uint64(0x9E3779B97F4A7C17), 16: np.uint64(0xC2B2AE3D27D4EB4F), 32: np.uint64(0xD6E8FEB86659FD93), 64: np.uint64(0xA0761D6478BD642F), 128: np.uint64(0xE7037ED1A0B428DB)}
+
+
 class Names:
-    """Bucket identifiers of all suffixes of some bytes."""
+    """Bucket identifiers of all suffixes of some bytes: at every position up to ``dense`` bytes, of longer ones where asked."""
 
-    def __init__(self, data: np.ndarray):
-        b = np.concatenate([data, np.zeros(8, np.uint8)])
+    def __init__(self, data: np.ndarray, dense: int = 256):
         n = len(data)
-        first = np.zeros(n, np.uint64)
-        for k in range(8):
-            first |= b[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+        first = np.ndarray(n, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
         self.n, self.levels = n, {8: mix(first, np.uint64(8) + np.zeros(1, np.uint64))}
         size = 8
-        while size < 256:
-            a = self.levels[size]
-            later = np.concatenate([a[size:], np.zeros(min(size, n), np.uint64)])
-            self.levels[2 * size] = mix(a, later)
+        while size < dense:
+            a = self.levels[size] * DOUBLING[size]
+            a[: max(0, n - size)] += self.levels[size][size:]
             size *= 2
+            self.levels[size] = a
+
+    def level(self, at: np.ndarray, size: int) -> np.ndarray:
+        if size in self.levels:
+            return self.levels[size][at]
+        half = size // 2
+        return self.level(at, half) * DOUBLING[half] + self.level(at + half, half)
 
     def of(self, at: np.ndarray, length: int) -> np.ndarray:
-        """Names of the length bytes at these positions (which must lie inside), for 256 <= length <= 512
-        or less by the greatest level below."""
-        size = max(s for s in self.levels if s <= length)
-        a = self.levels[size]
-        return a[at] if size == length else mix(a[at], a[at + (length - size)])
+        """Names of the length bytes at these positions (which must lie inside), for 16 <= length <= 512."""
+        size = min(256, 1 << (length.bit_length() - 1))
+        return mix(self.level(at, size), self.level(at + (length - size), size))
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
     """Of texts side by side: text number, anchor, first and last window start (all in data), and the names."""
     n = len(data)
-    names = Names(data)
+    names = Names(data, 16)
     starts = np.zeros(n, bool)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         starts[a : max(a, b - length + 1)] = True
     bits = np.uint64(24)  # a slice has fewer than 1 << 24 bytes; one width, so that equal windows agree in any slice
-    low = ((names.levels[16] >> bits) << bits) | np.arange(n, dtype=np.uint64)
-    size = 1
+    low = names.levels[16]
+    low >>= bits
+    low <<= bits
+    low |= np.arange(n, dtype=np.uint64)
+    del names.levels[16]  # it made way for the order
+    size, other = 1, np.empty_like(low)
     while size < reach:  # sliding minimum by doubling; reach is a power of two
-        low[: n - size] = np.minimum(low[: n - size], low[size:])
+        np.minimum(low[: n - size], low[size:], out=other[: n - size])
+        other[n - size :] = low[n - size :]
+        low, other = other, low
         size *= 2
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     at = np.flatnonzero(starts)
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, z, names
-    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(anchor[at]) != 0)) + 1
-    lo, hi = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
+    begin = np.ones(n, bool)  # a window starts a run if it is the first of its text or has another anchor than the one before
+    np.not_equal(low[1:], low[:-1], out=begin[1:])
+    begin[1:] |= ~starts[:-1]
+    begin &= starts
+    lo = np.flatnonzero(begin)
+    ends = np.ones(n, bool)
+    np.logical_not(starts[1:], out=ends[:-1])
+    ends[:-1] |= begin[1:]
+    ends &= starts
+    hi = np.flatnonzero(ends)
+    anchor = (low[lo] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     text = np.searchsorted(offsets, lo, side="right") - 1
-    return text, anchor[lo], lo, hi, names
+    return text, anchor, lo, hi, names
 
 
 def pieces(batch: pa.RecordBatch, column: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -151,7 +172,7 @@ def interval_rows(length: int):
             doc, th, key, seg, anchor, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             bodies, off = flat(batch.column(7))
             for i, j in slices(off):
-                names = Names(bodies[off[i] : off[j]])
+                names = Names(bodies[off[i] : off[j]], 64)
                 # run k starts at anchor - STEP * (k + 1) + 1, so that run 0 ends at the anchor
                 last, first = (anchor[i:j] - lo[i:j]) // STEP, (anchor[i:j] - hi[i:j]) // STEP
                 n = last - first + 1

@@ -56,3 +56,19 @@ def test_empty_and_extra_columns(spark):
 def test_lengths_are_checked(spark):
     with pytest.raises(ValueError):
         suffix_dedup.dedup(frame(spark, []), length=100)
+
+
+def test_long_names_are_made_only_where_asked():
+    """Names of over 8 bytes at every position were most of the query's CPU time; those asked for are the same."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 6000).astype(np.uint8)
+    data[3000:] = data[:3000]
+    text, anchor, lo, hi, names = suffix_dedup.segments(data, np.array([0, 3000, 3000, 3399, 6000]), 400, 256)
+    assert set(names.levels) == {8}
+    windows = [k for a, b in zip(lo, hi, strict=True) for k in range(a, b + 1)]
+    assert windows == [*range(0, 2601), *range(3399, 5601)] and (hi - lo).min() >= 0
+    assert ((anchor >= hi) & (anchor < lo + 256)).all() and set(text) == {0, 3}
+    at = np.arange(2601)
+    for length in (145, 256, 385, 400):
+        few, all_ = names.of(at, length), suffix_dedup.Names(data, 256).of(at, length)
+        assert (few == all_).all() and len(set(few.tolist())) == len(at) and (names.of(at + 3000, length)[: 3000 - length] == few[: 3000 - length]).all()
