@@ -166,16 +166,35 @@ class Bands:
 NOTHING = 255
 
 
+def table_bits(shingles: int) -> int:
+    """Bits of the table of levels: so many entries that at most 64 shingles of sets meet in one by chance (32 MB at most).
+
+    In a table that does not grow, what meets by chance hides passages that a few hundred texts share, and with the input
+    ever more of these join groups."""
+    return min(25, max(20, (max(shingles, 1) - 1).bit_length() - 6))
+
+
+#: Entries of the table of levels that are exchanged together.
+BLOCK = 1 << 16
+
+
 def levels_of(docs: DataFrame, n: int, bits: int = 20) -> np.ndarray:
     """How frequent shingles are, in half powers of two, by the last ``bits`` bits of their names (a table of 2 ** bits bytes).
 
-    Counts are over all texts, combined in the scan; equal sets that a task meets together count once.  Shingles
-    with the same bits are counted together, which blurs the order and costs no link."""
+    Counts are over all texts, combined in the scan and exchanged packed, in blocks; equal sets that a task meets together
+    count once.  Shingles with the same bits are counted together, which blurs the order and costs no link."""
     most = 1 << bits
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, seen, size = np.zeros(most, np.int64), [], set(), 0
+        import zstandard
+
+        total, held, seen, size = np.zeros(most, np.uint32), [], set(), 0
+
+        def add() -> None:
+            at, count = np.unique(np.concatenate(held), return_counts=True)
+            total[at] += count.astype(np.uint32)
+
         for batch in batches:
             for t in text_array(batch.column(0)):
                 s = shingles(t.as_py(), n)
@@ -183,20 +202,43 @@ def levels_of(docs: DataFrame, n: int, bits: int = 20) -> np.ndarray:
                     seen.add(k)
                     held.append((s & np.uint64(most - 1)).astype(np.int64))
                     size += len(s)
-                if size > most:
-                    total += np.bincount(np.concatenate(held), minlength=most)
+                if size > 1 << 20:
+                    add()
                     held, seen, size = [], set(), 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=most)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["at", "n"])
-
-    found = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    found = found.select(F.col("at").cast("int"), F.least(F.floor(2 * F.log2("n")), F.lit(NOTHING - 1)).cast("short").alias("level")).toArrow()
+            add()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for block, part in enumerate(total.reshape(-1, BLOCK)):
+            if part.any():
+                planes = part.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(planes)], pa.binary())], ["block", "counts"])
+
+    @lean
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def level(block: int, total: np.ndarray) -> pa.RecordBatch:
+            out = np.minimum(np.floor(2 * np.log2(np.maximum(total, 1))), NOTHING - 1).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "level"])
+
+        at, total = None, np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != at and at is not None:
+                    yield level(at, total)
+                    total = np.zeros(BLOCK, np.int64)
+                at = block
+                total += np.frombuffer(unpack(blob.as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        if at is not None:
+            yield level(at, total)
+
+    found = docs.select("text").mapInArrow(run, "block int, counts binary").repartition("block").sortWithinPartitions("block")
+    found = found.mapInArrow(summed, "block int, level binary").toArrow()
     out = np.zeros(most, np.uint8)
-    out[found.column("at").to_numpy()] = found.column("level").to_numpy()
+    for block, level in zip(found.column("block").to_pylist(), found.column("level").to_pylist(), strict=True):
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(level, np.uint8)
     return out
 
 
@@ -685,7 +727,8 @@ def joined(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, whole:
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
     classes = rows.where("n_shingles > 0").groupBy("key", "key2").agg(rep, F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
     classes = stage(classes.select("key", "key2", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "n", "n_copies"), "classes")
-    bands = Bands(num, den, rows.count(), levels_of(docs, n))
+    held = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bands = Bands(num, den, rows.count(), levels_of(docs, n, table_bits(held)))
     release(docs.sparkSession)
     near = stage(near_of(docs, classes, bands, n), "near")
     release(docs.sparkSession)

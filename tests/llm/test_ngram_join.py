@@ -185,3 +185,18 @@ def test_the_exchange_of_entries_is_bounded(spark):
     marks = ngram_join.marks_of(docs, bands, 5, 8).collect()
     assert sum(len(r.marks) for r in marks) < 11 * entries and {r.part for r in marks} == set(range(8))
     assert sum(len(ngram_join.unpacked_marks(r.marks, 0)[0]) for r in marks) == entries > 10_000
+
+
+def test_the_table_of_levels_grows_with_the_shingles(spark):
+    """In one of a fixed size a passage of a few hundred texts is no more frequent than what meets by chance."""
+    assert [ngram_join.table_bits(n) for n in (0, 1 << 26, (1 << 26) + 1, 1 << 30, 1 << 40)] == [20, 20, 21, 24, 25]
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    docs = [(i, f"{prose(rng, 30)} {passage if i % 4 == 0 else ''} {prose(rng, 30)}", "en", "s", 0) for i in range(400)]
+    sets = [ngram_join.shingles(d[1], 5) for d in docs]
+    for bits in (20, 21):
+        table = ngram_join.levels_of(frame(spark, docs).repartition(7), 5, bits)
+        at, count = np.unique(np.concatenate(sets) & np.uint64((1 << bits) - 1), return_counts=True)
+        want = np.zeros(1 << bits, np.uint8)
+        want[at] = np.floor(2 * np.log2(count))
+        assert (table == want).all() and table.max() == 13
