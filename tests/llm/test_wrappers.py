@@ -78,3 +78,19 @@ def test_the_wrapper_tells_menus_in_articles(spark):
     got = texts(spark, rows)
     assert all(got[i] == f"Same head Own text {i} Same words. Source {i}" for i in range(6))
     assert got[10] == "Own text 0 Send Print" and got[20] == "Own text Send Print" and got[30] == "Own text 0 Send Print" and got[50] == "Own text 0 Send Print by hand"
+
+
+def test_all_pages_are_counted_not_a_draw(spark):
+    """Half of 101 pages and one less; copies in other markup are no sightings."""
+    both = "<section>half of all</section>"
+    rows = []
+    for h in range(5):
+        for i in range(101):
+            rows.append((h * 1000 + i, f"http://half{h}.example/{i}", f"<div>own {h} {i}</div>" + both * (i < 51)))
+            rows.append((10_000 + h * 1000 + i, f"http://less{h}.example/{i}", f"<div>own {h} {i}</div>" + both * (i < 50)))
+        rows += [(20_000 + h * 1000 + i, f"http://less{h}.example/{i}", f"<div><span>own {h} {i}</span></div>" + both) for i in range(20)]
+    got = texts(spark, rows)
+    for h in range(5):
+        assert all(got[h * 1000 + i] == f"own {h} {i}" for i in range(101))
+        assert all(got[10_000 + h * 1000 + i] == f"own {h} {i}" + " half of all" * (i < 50) for i in range(101))
+        assert all(got[20_000 + h * 1000 + i] == f"own {h} {i} half of all" for i in range(20))
