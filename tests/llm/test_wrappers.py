@@ -1,3 +1,6 @@
+import sys
+import time
+
 from pyspark.sql import functions as F
 
 from stratalog.llm import wrappers as w
@@ -94,3 +97,41 @@ def test_all_pages_are_counted_not_a_draw(spark):
         assert all(got[h * 1000 + i] == f"own {h} {i}" for i in range(101))
         assert all(got[10_000 + h * 1000 + i] == f"own {h} {i}" + " half of all" * (i < 50) for i in range(101))
         assert all(got[20_000 + h * 1000 + i] == f"own {h} {i} half of all" for i in range(20))
+
+
+def calls(f):
+    """The result of f and how many Python functions it called."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event == "call"
+
+    sys.setprofile(count)
+    try:
+        out = f()
+    finally:
+        sys.setprofile(None)
+    return out, n
+
+
+def test_a_page_takes_few_calls_a_tag():
+    """Both passes read every page, so a call for each tag is a second for some hundred thousand tags."""
+    body = "".join(f"<h2>Head {i}</h2><p>Some <b>bold</b> words<br> &amp; more</p><ul><li><a href='/{i}'>x</a></li> <li>y</li></ul>" for i in range(50))
+    html = f"<html><body><nav class=menu><a href='/'>m</a></nav><article>{body}</article></body></html>"
+    tags = html.count("<")
+    parsed, n = calls(lambda: w.parse(html))
+    assert n < 3 * tags
+    tree, n = calls(lambda: w.skeleton(parsed))
+    assert n < 5 * tags and w.shape(tree).count("li +") == 50
+    got, n = calls(lambda: w.Wrapper(tree, 1).blocks(parsed))
+    assert n < 5 * tags and len(got) == 50 * 5
+
+
+def test_a_long_name_is_read_once():
+    start = time.process_time()
+    for end in ("", " 'open>", '" b">'):
+        w.parse("<" + "a" * 30_000 + end)
+    assert time.process_time() - start < 5
+    assert [k.tag for k in w.parse("""<a"b c"d><i'j k>l</i'j>""").kids] == ["a"]
+    assert w.parse("""<a"b c"d>x""").kids[0].kids[0].text == "x" and w.parse("""<i'j>x</i'j>y""").kids[1].text == "y"
