@@ -20,6 +20,9 @@ equal anchors.  An anchor's windows form a segment, a run of bytes.  Rounds:
 Buckets are only ever counted (least, greatest and number, combined on the map side) and joined back, so one
 passage in a third of all documents is no task of its own.  Covered runs meet the texts again at the end.
 
+Asked for ``words``, the same rounds over windows of words instead of bytes tell which rows share a passage of so many
+words with another row, however few bytes it has.
+
 Nulls: a null text is empty, a null doc_id stays null (rows are told apart by id and text).  Repeated rows are
 copies: both lose what they share.  Texts of fewer than ``length`` bytes lose nothing.
 """
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, release, slices, stage, staged
+from .common import drop_stage, flat, hash64, mix, release, slices, stage, staged
 
 NONE = -(1 << 63)
 #: A longer text is cut into pieces of so many window starts, each with the bytes its windows need.
@@ -74,29 +77,27 @@ class Names:
         return mix(self.level(at, size), self.level(at + (length - size), size))
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
-    """Of texts side by side: text number, anchor, first and last window start (all in data), and the names."""
-    n = len(data)
-    names = Names(data, 16)
+def anchored(low: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Of texts side by side: text number, anchor, first and last window start, by the names that anchors are chosen by (used up)."""
+    n = len(low)
     starts = np.zeros(n, bool)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         starts[a : max(a, b - length + 1)] = True
-    bits = np.uint64(24)  # a slice has fewer than 1 << 24 bytes; one width, so that equal windows agree in any slice
-    low = names.levels[16]
+    bits = np.uint64(24)  # a slice has fewer than 1 << 24 places; one width, so that equal windows agree in any slice
     low >>= bits
     low <<= bits
     low |= np.arange(n, dtype=np.uint64)
-    del names.levels[16]  # it made way for the order
     size, other = 1, np.empty_like(low)
-    while size < reach:  # sliding minimum by doubling; reach is a power of two
-        np.minimum(low[: n - size], low[size:], out=other[: n - size])
-        other[n - size :] = low[n - size :]
+    while size < reach:  # sliding minimum by doubling
+        step = min(size, reach - size)
+        np.minimum(low[: n - step], low[step:], out=other[: n - step])
+        other[n - step :] = low[n - step :]
         low, other = other, low
-        size *= 2
+        size += step
     at = np.flatnonzero(starts)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, names
+        return z, z, z, z
     begin = np.ones(n, bool)  # a window starts a run if it is the first of its text or has another anchor than the one before
     np.not_equal(low[1:], low[:-1], out=begin[1:])
     begin[1:] |= ~starts[:-1]
@@ -109,7 +110,13 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, reach: int) ->
     hi = np.flatnonzero(ends)
     anchor = (low[lo] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     text = np.searchsorted(offsets, lo, side="right") - 1
-    return text, anchor, lo, hi, names
+    return text, anchor, lo, hi
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Of texts side by side: text number, anchor, first and last window start (all in data), and the names."""
+    names = Names(data, 16)
+    return *anchored(names.levels.pop(16), offsets, length, reach), names  # the names of 16 bytes make way for the order
 
 
 def pieces(batch: pa.RecordBatch, column: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -212,8 +219,133 @@ def window_rows(length: int):
     return run
 
 
-def cut_rows(doc_type: pa.DataType, length: int):
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of texts with the runs to remove."""
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all words of texts side by side, and the offsets of each text's words (n + 1)."""
+    n = len(data)
+    inside = ~SPACES[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    bounds = offsets[(offsets > 0) & (offsets < n)]  # words of neighbouring texts do not run together
+    first[bounds] = inside[bounds]
+    last[bounds - 1] = inside[bounds - 1]
+    begin, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= begin
+    eight = np.ndarray(n, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = mix(eight[begin] & mask[np.minimum(size, 8)], size.astype(np.uint64))
+    k, more = 8, np.flatnonzero(size > 8)
+    while len(more) and k < 64:
+        out[more] = mix(out[more], eight[begin[more] + k] & mask[np.minimum(size[more] - k, 8)])
+        k += 8
+        more = more[size[more] > k]
+    if len(more):
+        out[more] = mix(out[more], hash64([data[a + k : a + m].tobytes() for a, m in zip(begin[more].tolist(), size[more].tolist(), strict=True)]))
+    return out, np.searchsorted(begin, offsets)
+
+
+def passages(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments of windows of so many words: text number, first and last window start, bucket, name, and all windows' names.
+
+    An anchor is the place of the least name of 8 words in a window, and this name is its bucket."""
+    whole, off = word_names(data, offsets)
+    long = len(off) == 2 and len(whole) > PIECE + words
+    for p in range(0, len(whole) - words + 1, PIECE) if long else [0]:
+        one, at = (whole[p : p + PIECE + words - 1], np.array([0, min(PIECE + words - 1, len(whole) - p)])) if long else (whole, off)
+        if len(one) < words:
+            continue
+        size = 1
+        while size < 32:
+            if size == 8:
+                eight = one
+            one, half = one * DOUBLING[8 * size], one
+            one[: max(0, len(half) - size)] += half[size:]
+            size *= 2
+        text, anchor, lo, hi = anchored(eight.copy(), at, words, words - 7)
+        names = mix(one[: len(one) - (words - 32)], one[words - 32 :])
+        shape = ((anchor - lo) * words + (hi - lo)).astype(np.uint64)
+        yield text, lo, hi, eight[anchor], mix(mix(names[lo], names[hi]), shape), names
+
+
+def distinct(text: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """Where each combination of a text and its parts stands first."""
+    name = text.astype(np.uint64)
+    for p in parts:
+        name = mix(name, p)
+    return np.unique(name, return_index=True)[1]
+
+
+def passage_rows(words: int):
+    """Bucket and name of every segment of words, once for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, th = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, off = flat(batch.column(2))
+            for i, j in slices(off):
+                found = [(text, key, seg) for text, _, _, key, seg, _ in passages(data[off[i] : off[j]], off[i : j + 1] - off[i], words)]
+                if found:
+                    text, key, seg = (np.concatenate(x) for x in zip(*found, strict=True))
+                    at = distinct(text, key, seg)
+                    row = text[at] + i
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], th[row], key[at].view(np.int64), seg[at].view(np.int64))], ["doc", "th", "key", "seg"])
+
+    return run
+
+
+def passage_windows(words: int):
+    """Names of all windows of words in the buckets asked for (doc, th, text, keys), once for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, ths, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            data, off = flat(batch.column(2))
+            for row in range(len(batch)):
+                keys, found = asked[row].values.to_numpy(zero_copy_only=False).view(np.uint64), []
+                for _, lo, hi, key, _, names in passages(data[off[row] : off[row + 1]], np.array([0, off[row + 1] - off[row]]), words):
+                    held = np.flatnonzero(np.isin(key, keys))
+                    found += [names[a : b + 1] for a, b in zip(lo[held].tolist(), hi[held].tolist(), strict=True)]
+                if found:
+                    name = np.unique(np.concatenate(found)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(name), pa.int64()) for x in (docs[row], ths[row])), pa.array(name)], ["doc", "th", "name"])
+
+    return run
+
+
+@staged
+def sharing(rows: DataFrame, words: int) -> DataFrame:
+    """doc and th of the rows (doc, th, text) with so many words in a row that another row has too.
+
+    Rows that agree in a whole segment share its windows.  Only rows without such a segment are compared by windows, with
+    one row of each kind of segment in their buckets: a kind that several rows have is in no such row itself."""
+    anchors = rows.select("doc", "th", "text").mapInArrow(passage_rows(words), "doc long, th long, key long, seg long")
+    buckets = anchors.groupBy("key").agg(F.count("*").alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1")
+    met = stage(anchors.join(buckets.select("key", (F.col("s0") != F.col("s1")).alias("mixed")), "key"), "met")
+    release(rows.sparkSession)
+    mixed = met.where("mixed")
+    kinds = stage(mixed.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc", "th")).alias("r")), "kinds")
+    again = mixed.join(kinds.where("c > 1").select("key", "seg"), ["key", "seg"]).select("doc", "th")
+    again = stage(met.where("not mixed").select("doc", "th").union(again).distinct(), "again")
+    left = mixed.join(again, ["doc", "th"], "left_anti").select("key").distinct()
+    asked = kinds.join(left, "key", "left_semi").groupBy("r.doc", "r.th").agg(F.collect_set("key").alias("keys"))
+    asked = stage(asked, "passages")
+    windows = rows.join(asked, ["doc", "th"]).select("doc", "th", "text", "keys").mapInArrow(passage_windows(words), "doc long, th long, name long")
+    windows = stage(windows, "words")
+    hits = windows.join(windows.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "name").select("doc", "th")
+    out = stage(again.union(hits).distinct(), "sharing")
+    release(rows.sparkSession)
+    return out
+
+
+#: A run that stands for a passage in another row.
+MARK = -1
+
+
+def cut_rows(words: int):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of texts with the runs to remove; with words, shares_passage before spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,16 +353,21 @@ def cut_rows(doc_type: pa.DataType, length: int):
             out = []
             for row in range(len(batch)):
                 text = data[off[row] : off[row + 1]]
-                spans = merged(batch.column(2)[row].as_py() or [])
+                runs = batch.column(2)[row].as_py() or []
+                spans = merged([r for r in runs if r["a"] != MARK])
                 keep, at = hashlib.sha256(), 0
                 for a, b in spans:
                     keep.update(text[at:a])
                     at = b
                 keep.update(text[at:])
-                out.append((len(text), sum(b - a for a, b in spans), len(spans), keep.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                out.append((len(text), sum(b - a for a, b in spans), len(spans), keep.hexdigest(), int(any(r["a"] == MARK for r in runs)), [{"start": a, "end": b} for a, b in spans]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[k], pa.int64()) for k in range(3)), pa.array(cols[3], pa.string()), pa.array(cols[4], kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            made = [batch.column(0), *(pa.array(cols[k], pa.int64()) for k in range(3)), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int32()), pa.array(cols[5], kind)]
+            made = dict(zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage", "spans"], made, strict=True))
+            if not words:
+                del made["shares_passage"]
+            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     return run
 
@@ -246,12 +383,18 @@ def merged(runs: list[dict]) -> list[tuple[int, int]]:
 
 
 @staged
-def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row."""
+def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256, words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row.
+
+    With words (33 to 64) also shares_passage, int: 1 if the text has so many words in a row that another row has too, in
+    however few bytes.  It removes nothing."""
     if not 2 * reach >= length > reach + 15 or length < 272:
         raise ValueError("needs 272 <= length and reach + 15 < length <= 2 * reach")
+    if words and not 33 <= words <= 64:
+        raise ValueError("needs 33 <= words <= 64, or 0 for none")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64("text").alias("th"), "text", "doc_id")
+    marked = sharing(rows, words) if words else None
     anchors = rows.select("doc", "th", "text").mapInArrow(anchor_rows(length, reach), ANCHORS)
     buckets = anchors.groupBy("key").agg(F.count("*").alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1")
     shared = stage(anchors.join(buckets.select("key", (F.col("s0") != F.col("s1")).alias("mixed")), "key"), "shared")
@@ -271,6 +414,7 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     met = lambda df, name: df.groupBy(name).agg(F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("s0 <> s1").select(name)
     part = runs.join(met(runs, "inside"), "inside")
     part = stage(part.join(met(part, "around").withColumn("full", F.lit(True)), "around", "left").select("doc", "th", "seg", "lo", "a", "b", "inside", "around", F.col("full").isNotNull().alias("full")), "part")
+    drop_stage(runs)
     covered = part.where("full").select("doc", "th", "a", (F.col("b") + length).alias("b"))
     rest = part.where("not full")  # and, to compare them with, one of each kind of repeated run that shares their bytes
     kind = F.min(F.struct("doc", "th", "seg", "lo", "a", "b")).alias("r")
@@ -278,8 +422,13 @@ def dedup(docs: DataFrame, *, length: int = 400, reach: int = 256) -> DataFrame:
     open_runs = rest.select("doc", "th", "seg", "lo", "a", "b").unionByName(shown).groupBy("doc", "th", "seg", "lo").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     windows = fragments.join(open_runs, ["doc", "th", "seg", "lo"]).select("doc", "th", "key", "seg", "lo", "body", "runs").mapInArrow(window_rows(length), "doc long, th long, name long, seg long, at long")
     windows = stage(windows, "windows")
+    drop_stage(fragments)
     release(docs.sparkSession)
     hits = windows.join(met(windows, "name"), "name").select("doc", "th", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    runs = plain.union(whole).union(covered).union(hits).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    runs = plain.union(whole).union(covered).union(hits)
+    if words:
+        runs = runs.union(marked.select("doc", "th", F.lit(MARK).cast("long").alias("a"), F.lit(MARK).cast("long").alias("b")))
+    runs = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     joined = rows.join(runs, ["doc", "th"], "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(cut_rows(pa.int64(), length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    more = "shares_passage int, " if words else ""
+    return joined.mapInArrow(cut_rows(words), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {more}spans array<struct<start:long,end:long>>")

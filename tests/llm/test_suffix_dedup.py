@@ -1,11 +1,12 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
 
 from stratalog.llm import suffix_dedup
 
-from .util import documents, frame
+from .util import WORD, documents, frame, prose
 
 
 def brute(docs, length):
@@ -72,3 +73,50 @@ def test_long_names_are_made_only_where_asked():
     for length in (145, 256, 385, 400):
         few, all_ = names.of(at, length), suffix_dedup.Names(data, 256).of(at, length)
         assert (few == all_).all() and len(set(few.tolist())) == len(at) and (names.of(at + 3000, length)[: 3000 - length] == few[: 3000 - length]).all()
+
+
+def brute_sharing(docs, n):
+    """doc_id and whether another row has n words in a row that this one has."""
+    held: dict[tuple, set] = {}
+    for i, (_, t) in enumerate(docs):
+        w = WORD.findall(t or "")
+        for k in range(len(w) - n + 1):
+            held.setdefault(tuple(w[k : k + n]), set()).add(i)
+    sharing = set().union(*(x for x in held.values() if len(x) > 1))
+    return sorted(((d, int(i in sharing)) for i, (d, _) in enumerate(docs)), key=str)
+
+
+@pytest.mark.parametrize(("seed", "piece"), [(1, 1 << 20), (2, 1 << 20), (4, 700)])
+def test_shares_passage_equals_brute_force(spark, monkeypatch, seed, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng, rows = random.Random(seed), documents(seed)
+    base, odd = prose(rng, 300).split(" "), "x" * 90 + " é" + "y" * 200
+    texts = [" ".join(prose(rng, 40).split(" ") + base[k : k + n] + prose(rng, 40).split(" ")) for k, n in [(0, 51), (0, 50), (40, 51), (100, 60), (101, 50), (109, 51), (180, 50), (200, 90)]]
+    texts += [" ".join(base[150:290]).replace(base[215], "edited"), "\n\t ".join(base[:51]), " ".join(["la"] * 51), " ".join(["la"] * 400), " ".join([prose(rng, 30)] * 9), " ".join([odd, *base[290:]] * 6), " ".join([odd, *base[290:]] * 7)]
+    texts += ["\n".join([prose(rng, 7), *[" ".join(base[230:260])] * 3]), "\n".join([prose(rng, 9), *[" ".join(base[230:260])] * 4])]
+    rows += [(1000 + k, t, "en", "src1", len(t)) for k, t in enumerate(texts)]
+    got = suffix_dedup.dedup(frame(spark, rows), words=51).select("doc_id", "shares_passage").collect()
+    want = brute_sharing([(r[0], r[1]) for r in rows], 51)
+    assert sorted((tuple(r) for r in got), key=str) == want and {0, 1} == {x for _, x in want}
+
+
+def test_short_passages_are_told_and_contract_columns_stay(spark):
+    """Passages of 51 words in under 400 bytes repeat across documents; n_removed leaves them, shares_passage tells them."""
+    rng = random.Random(5)
+    passages = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(51)) for _ in range(10)]
+    assert max(map(len, passages)) < 400 - 60
+    texts = [f"{prose(rng, 60)} {passages[k % 10]} {prose(rng, 60)}" for k in range(20)] + [prose(rng, 170) for _ in range(20)]
+    docs = frame(spark, [(k, t, "en", "src1", len(t)) for k, t in enumerate(texts)])
+    out = suffix_dedup.dedup(docs, words=51).drop("spans").orderBy("doc_id").collect()
+    assert [r.shares_passage for r in out] == [1] * 20 + [0] * 20 and {r.n_removed for r in out} == {0}
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == brute_order(texts)
+
+
+def brute_order(texts):
+    return sorted(brute(list(enumerate(texts)), 400))
+
+
+def test_word_count_is_checked(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(frame(spark, []), words=20)
+    assert suffix_dedup.dedup(frame(spark, []), words=51).count() == 0
